@@ -56,3 +56,23 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_watchloom_shipped", False):
+        return
+    import os
+    import zipfile
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="watchloom-code-"), "watchloom_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for d, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    p = os.path.join(d, f)
+                    z.write(p, os.path.join("watchloom", os.path.relpath(p, root)))
+    sc.addPyFile(target)
+    sc._watchloom_shipped = True  # type: ignore[attr-defined]
