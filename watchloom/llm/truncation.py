@@ -51,32 +51,38 @@ def _shape(t: str) -> str:
     return _CAPITAL.sub("X", t)
 
 
-def _grams(texts: list[str], sizes: tuple[int, ...]) -> tuple[dict[int, np.ndarray], np.ndarray]:
-    """64-bit hashes of the n characters ending at each place of the texts, and the places where texts end.
+def _grams(texts: list[str], sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, 64-bit hashes of the n characters ending at each place, places where texts end), one size at a time.
 
     Texts stand in one array between runs of a filler, so that a context may begin with the start of its text.
     """
     gap = "\x00" * _LONGEST
-    chars = np.frombuffer((gap + gap.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    chars = np.frombuffer((gap + gap.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    chars += np.uint64(1)
     ends = np.cumsum(np.fromiter((len(t) + _LONGEST for t in texts), np.int64, len(texts))) - 1
-    out: dict[int, np.ndarray] = {}
-    mult = _MUL
-    h = chars * mult
-    for k in range(2, max(sizes) + 1):
-        mult = mult * _MUL * np.uint64(3) + np.uint64(1)
-        h[k - 1 :] += chars[: len(chars) - k + 1] * mult
-        if k in sizes:
-            x = h ^ (h >> np.uint64(31))
-            out[k] = x * np.uint64(0xD6E8FEB86659FD93)
-    return out, ends
-
-
-def _hashes(bodies: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(size, hashes at all places, hashes at the ends) for every size."""
     with np.errstate(over="ignore"):
-        raw, ends = _grams(bodies, tuple(k for k in SIZES if k > 0))
-        shaped, shaped_ends = _grams([_shape(b) for b in bodies], tuple(-k for k in SIZES if k < 0))
-    return [(k, raw[k], raw[k][ends]) if k > 0 else (k, shaped[-k], shaped[-k][shaped_ends]) for k in SIZES]
+        mult = _MUL
+        h = chars * mult
+        for k in range(2, max(sizes) + 1):
+            mult = mult * _MUL * np.uint64(3) + np.uint64(1)
+            h[k - 1 :] += chars[: len(chars) - k + 1] * mult
+            if k in sizes:
+                x = h >> np.uint64(31)
+                x ^= h
+                x *= np.uint64(0xD6E8FEB86659FD93)
+                yield k, x, ends
+
+
+def _hashes(bodies: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, hashes at all places, hashes at the ends) for every size, in no order of SIZES."""
+    for k, h, ends in _grams(bodies, [k for k in SIZES if k > 0]):
+        yield k, h, h[ends]
+    for k, h, ends in _grams([_shape(b) for b in bodies], [-k for k in SIZES if k < 0]):
+        yield -k, h, h[ends]
+
+
+#: Characters of text a task hashes at a time.
+_BATCH = 3_000_000
 
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,25 +90,26 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: list[str] = []
     size = 0
 
-    def flush() -> pd.DataFrame:
-        ks, hs, ns = [], [], []
+    def flush() -> Iterator[pd.DataFrame]:
         for k, h, _ in _hashes(held):
             u, n = np.unique(h, return_counts=True)
-            ks.append(np.full(len(u), k, np.int32))
-            hs.append(u.view(np.int64))
-            ns.append(n)
-        return pd.DataFrame({"k": np.concatenate(ks), "h": np.concatenate(hs), "n": np.concatenate(ns)})
+            yield pd.DataFrame({"k": np.full(len(u), k, np.int32), "h": u.view(np.int64), "n": n})
 
     for pdf in batches:
         for t in pdf["text"]:
             held.append(_body(t))
             size += len(t)
-            if size > 12_000_000:
-                yield flush()
+            if size > _BATCH:
+                yield from flush()
                 held.clear()
                 size = 0
     if held:
-        yield flush()
+        yield from flush()
+
+
+def _tail(body: str) -> str:
+    """Enough of a text's end for its final contexts, also those over its word shape."""
+    return body[-40 * _LONGEST :]
 
 
 def _broken_structure(t: str) -> bool:
@@ -121,7 +128,8 @@ def _broken_structure(t: str) -> bool:
 def _end_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = pdf["text"].tolist()
-        cols = {f"h{i}": e.view(np.int64) for i, (_, _, e) in enumerate(_hashes([_body(t) for t in texts]))}
+        final = {k: e for k, _, e in _hashes([_tail(_body(t)) for t in texts])}
+        cols = {f"h{i}": final[k].view(np.int64) for i, k in enumerate(SIZES)}
         yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "source": pdf["source"], "lang": pdf["lang"], "len": [len(t) for t in texts], "broken": [_broken_structure(t) for t in texts], **cols})
 
 
