@@ -29,7 +29,7 @@ _YEARS = re.compile(rf"(?<!\d){_Y}(?!\d)")
 FULL, MONTH, YEAR, SPAN = 4, 3, 2, 1
 
 
-@lru_cache(50_000)
+@lru_cache(20_000)
 def read_date(x: str) -> tuple[int, int, int, int, int] | None:
     """``(rank, first year, last year, month or 0, day or 0)`` of one birth date item; None if it says nothing."""
     t = " ".join(x.strip().lower().split())
@@ -79,7 +79,7 @@ def vague(field: str | None) -> bool:
     return bool(field and _VAGUE.search(field))
 
 
-@lru_cache(100_000)
+@lru_cache(30_000)
 def date_pair(a: tuple, b: tuple, loose: bool = False) -> int:
     """3 same day, 2 compatible, 1 a small slip, 0 contradictory; ``loose`` when a year is given as approximate."""
     if a[0] == FULL and b[0] == FULL:
@@ -207,7 +207,7 @@ def says_nothing(x: str | None) -> bool:
     return x is None or " ".join(x.split()).lower() in _NOTHING
 
 
-@lru_cache(50_000)
+@lru_cache(20_000)
 def country(x: str) -> str | None:
     """ISO code of a country named in any of the usual ways; an unknown text stands for itself."""
     t = " ".join(_plain(x).replace("’", "'").split())
@@ -227,7 +227,7 @@ def countries(field: str | None) -> list[str]:
 _NUMBER = re.compile(r"^\s*(?:no|nr|n°|№|num|number)\s*[.:]?\s*(?=[a-z]*\d)", re.I)
 
 
-@lru_cache(50_000)
+@lru_cache(20_000)
 def number(x: str) -> str | None:
     """A document number in upper-case letters and digits; None if it isn't usable."""
     if says_nothing(x):
@@ -259,7 +259,7 @@ def numbers(field: str | None) -> list[str]:
     return sorted(f"{k}:{v}" for k, v in got if v)
 
 
-@lru_cache(100_000)
+@lru_cache(30_000)
 def _near_number(a: str, b: str) -> bool:
     if len(a) == len(b):
         diff = [i for i in range(len(a)) if a[i] != b[i]]

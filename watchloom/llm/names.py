@@ -282,7 +282,7 @@ def _script(c: str) -> str:
     return "X" if c.isalpha() else ""
 
 
-@lru_cache(100_000)
+@lru_cache(30_000)
 def _latin_token(t: str) -> str:
     """One token in plain lower-case Latin letters and digits."""
     scripts = {_script(c) for c in t} - {""}
@@ -342,7 +342,7 @@ _PHON = [
 _LEET = str.maketrans("01345789", "oieastbg")
 
 
-@lru_cache(100_000)
+@lru_cache(30_000)
 def phon(t: str) -> str:
     """A spelling-tolerant form of a token: variant letter groups are merged, doubles collapsed."""
     if not t.isalpha() and any(c.isalpha() for c in t):
@@ -352,7 +352,7 @@ def phon(t: str) -> str:
     return t
 
 
-@lru_cache(100_000)
+@lru_cache(30_000)
 def key(t: str) -> str:
     """The token's class: a given-name class, or the consonant skeleton of its phonetic form."""
     g = _GIVEN.get(t)
@@ -364,7 +364,7 @@ def key(t: str) -> str:
     return (p[:1] + re.sub(r"[aeiouhv]", "", p[1:])) if len(p) > 3 else p
 
 
-@lru_cache(100_000)
+@lru_cache(30_000)
 def given(t: str) -> str | None:
     k = key(t)
     return k if k[:1] == "=" else None
@@ -406,7 +406,7 @@ def osa(a: str, b: str, limit: int) -> int:
     return min(prev[lb], limit + 1)
 
 
-@lru_cache(150_000)
+@lru_cache(40_000)
 def token_sim(a: str, b: str) -> float:
     """Similarity of two tokens in 0..1."""
     if a == b:
@@ -455,7 +455,7 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
     return total / weight
 
 
-@lru_cache(100_000)
+@lru_cache(30_000)
 def _split_name(t: tuple[str, ...]) -> tuple[int, tuple[str, ...]]:
     """Index of the family name, -1 if there is none to tell, and the other names in order."""
     at = max((i for i, x in enumerate(t) if len(x) > 2 and not given(x) and x not in _WEAK), key=lambda i: (len(t[i]), t[i]), default=-1)
@@ -507,7 +507,7 @@ def name_match(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return name_parts(a, b)[0]
 
 
-@lru_cache(100_000)
+@lru_cache(30_000)
 def given_class(t: str) -> str:
     """The class of a token that isn't the family name: its given name's, also when one slip away, or its own key."""
     k = key(t)
