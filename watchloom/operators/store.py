@@ -45,13 +45,13 @@ class SnapshotStore:
         path = f"{self.root}/v-{version}"
         w = df.write
         (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-        if self.spark.read.parquet(path).isEmpty():
+        if self.spark.read.schema(df.schema).parquet(path).isEmpty():
             return None
-        fs, tmp = self._fs(f"{self.root}/_current.{version}")
+        fs, tmp = self._fs(f"{self.root}/CURRENT.{version}")
         out = fs.create(tmp)
         out.write(bytearray(version.encode()))
         out.close()
-        _, cur = self._fs(f"{self.root}/_current")
+        _, cur = self._fs(f"{self.root}/CURRENT")
         ctx = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(cur.toUri(), self.spark._jsc.hadoopConfiguration())
         opts = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         opts[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
@@ -59,7 +59,7 @@ class SnapshotStore:
         return version
 
     def current(self) -> DataFrame:
-        rows = self.spark.read.text(f"{self.root}/_current").head(1)
+        rows = self.spark.read.text(f"{self.root}/CURRENT").head(1)
         return self.spark.read.parquet(f"{self.root}/v-{rows[0][0]}")
 
 

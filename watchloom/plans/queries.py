@@ -182,7 +182,7 @@ def override_join(s: SparkSession, d: str) -> DataFrame:
 
 def funnel_counts(s: SparkSession, d: str) -> DataFrame:
     cols = ("raw_candidates", "unique_persons", "auto_cleared", "auto_flagged", "sent_to_llm", "llm_cleared", "llm_flagged", "llm_escalated")
-    return table(s, d, "screenings").dropDuplicates(["id"]).groupBy("result").agg(F.count("*").alias("screenings"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in cols])
+    return table(s, d, "screenings").distinct().groupBy("result").agg(F.count("*").alias("screenings"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in cols])
 
 
 def source_status(s: SparkSession, d: str) -> DataFrame:
@@ -217,8 +217,8 @@ def union_priority_dedup(s: SparkSession, d: str) -> DataFrame:
 
 
 def audit_by_day(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "screenings").dropDuplicates(["id"])
-    return t.groupBy(F.date_format("created_at", "yyyy-MM").alias("month"), "screened_by").agg(F.count("*").alias("screenings"), F.sum("processing_ms").alias("total_ms"))
+    t = table(s, d, "screenings").distinct()
+    return t.groupBy(F.date_format("created_at", "yyyy-MM").alias("month"), "screened_by").agg(F.count("*").alias("screenings"), F.sum(F.coalesce("processing_ms", F.lit(0))).alias("total_ms"))
 
 
 def p6_found(s: SparkSession, d: str) -> DataFrame:
@@ -338,7 +338,7 @@ def oracle_sql() -> dict[str, str]:
         "verdict_rollup": f"WITH {matches} SELECT id, CASE WHEN count_if(m.decision = 'LIKELY_MATCH') > 0 THEN 'FLAG' WHEN count_if(m.decision = 'ESCALATE') > 0 THEN 'ESCALATE' ELSE 'CLEAR' END AS verdict FROM mt GROUP BY id",
         "batch_numbers": "SELECT source, id, rn::INTEGER AS match_number, ((rn - 1) // 25)::INTEGER AS batch_no FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM (SELECT DISTINCT source, id FROM sanctions_entities WHERE id IS NOT NULL))",
         "override_join": f"WITH {matches}, v AS (SELECT CASE WHEN m.decision = 'ESCALATE' THEN 'REVIEWED' ELSE m.decision END AS verdict, CASE WHEN m.decision = 'ESCALATE' THEN 'second pass' ELSE m.cleared_by END AS reasoning FROM mt) SELECT verdict, reasoning, count(*) AS n FROM v GROUP BY 1, 2",
-        "funnel_counts": f"SELECT result, count(*) AS screenings, {funnel} FROM (SELECT DISTINCT ON (id) * FROM screenings) GROUP BY result",
+        "funnel_counts": f"SELECT result, count(*) AS screenings, {funnel} FROM (SELECT DISTINCT * FROM screenings) GROUP BY result",
         "source_status": f"WITH {latest} SELECT * FROM st",
         "status_totals": f"WITH {latest} SELECT count(*) AS sources, count_if(status = 'ok')::BIGINT AS ok, count_if(status <> 'ok')::BIGINT AS failed, sum(entity_count)::BIGINT AS entities FROM st",
         "history_page": "SELECT id, result, screened_by FROM (SELECT DISTINCT id, created_at, result, screened_by FROM screenings) ORDER BY created_at DESC, id LIMIT 50 OFFSET 50",
@@ -347,6 +347,6 @@ def oracle_sql() -> dict[str, str]:
         "report_rows": f"WITH {_E} SELECT id, coalesce(name, '') AS matched_person, array_to_string(list_slice({_ITEMS.format(c='aliases')}, 1, 4), ', ') AS aliases, array_to_string({_ITEMS.format(c='dob')}, ', ') AS dob, array_to_string({_ITEMS.format(c='nationality')}, ', ') AS nationality, "
         f"coalesce(gender, '') AS gender, {label} AS source_list, array_to_string(list_transform(list_slice({_IDS}, 1, 3), lambda i: i.type || ': ' || i.value), '; ') AS identifiers FROM ent",
         "union_priority_dedup": "WITH l AS (SELECT DISTINCT source, id FROM sanctions_entities WHERE id IS NOT NULL), o AS (SELECT DISTINCT source, id FROM entity_snapshots WHERE id IS NOT NULL) SELECT source, id, 'live' AS origin FROM l UNION ALL SELECT o.source, o.id, 'snapshot' FROM o ANTI JOIN l USING (source, id)",
-        "audit_by_day": "SELECT strftime(created_at, '%Y-%m') AS month, screened_by, count(*) AS screenings, sum(processing_ms)::BIGINT AS total_ms FROM (SELECT DISTINCT ON (id) * FROM screenings) GROUP BY 1, 2",
+        "audit_by_day": "SELECT strftime(created_at, '%Y-%m') AS month, screened_by, count(*) AS screenings, sum(coalesce(processing_ms, 0))::BIGINT AS total_ms FROM (SELECT DISTINCT * FROM screenings) GROUP BY 1, 2",
         "p6_found": _P6,
     }

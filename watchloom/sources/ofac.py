@@ -72,7 +72,7 @@ def read_ofac(spark: SparkSession, path: str, source: str = "ofac_sdn") -> DataF
     party = xml(spark, path, "DistinctParty", f"_FixedRef string, Profile {_PROFILE}").filter("Profile.Identity is not null")
     party = party.join(individuals(spark, path).select(F.col("id").alias("st")), F.col("Profile._PartySubTypeID") == F.col("st"), "left_semi")
     base = party.select(
-        F.col("Profile._ID").alias("profile"), F.coalesce("_FixedRef", F.col("Profile._ID")).alias("ref"), F.col("Profile.Identity._ID").alias("identity"),
+        F.col("Profile._ID").alias("pid"), F.coalesce("_FixedRef", F.col("Profile._ID")).alias("ref"), F.col("Profile.Identity._ID").alias("identity"),
         _alias_names(F.col("Profile.Identity.Alias"), F.col("Profile.Identity.NamePartGroups.MasterNamePartGroup")).alias("nm"), listed("Profile.Feature").alias("f"),
     ).filter(F.size("nm") > 0)
 
@@ -83,7 +83,7 @@ def read_ofac(spark: SparkSession, path: str, source: str = "ofac_sdn") -> DataF
     loc = loc.select(F.col("_ID").alias("loc"), parts.alias("parts"), F.col("LocationCountry._CountryID").alias("cid")).join(countries.select(F.col("id").alias("cid"), F.col("value").alias("country")), "cid", "left")
     place = loc.select("loc", F.array_join(F.when(F.col("country").isNotNull() & ~F.array_contains("parts", F.coalesce("country", F.lit(""))), F.array_append("parts", F.col("country"))).otherwise(F.col("parts")), ", ").alias("place")).groupBy("loc").agg(F.max("place").alias("place"))
 
-    feats = base.select("profile", F.posexplode("f").alias("at", "x")).select("profile", "at", F.col("x._FeatureTypeID").alias("kind"), F.col("x.FeatureVersion.VersionLocation._LocationID").alias("loc"), F.col("x.FeatureVersion.VersionDetail._DetailReferenceID").alias("code"), _period_text(F.col("x.FeatureVersion.DatePeriod")).alias("born"))
+    feats = base.select("pid", F.posexplode("f").alias("at", "x")).select("pid", "at", F.col("x._FeatureTypeID").alias("kind"), F.col("x.FeatureVersion.VersionLocation._LocationID").alias("loc"), F.col("x.FeatureVersion.VersionDetail._DetailReferenceID").alias("code"), _period_text(F.col("x.FeatureVersion.DatePeriod")).alias("born"))
     named = areas.select(F.col("id").alias("code"), F.col("value").alias("area")).join(countries.select(F.col("id").alias("code"), F.col("value").alias("land")), "code", "full_outer").select("code", F.coalesce("area", "land").alias("area"))
     feats = feats.join(place, "loc", "left").join(named, "code", "left")
 
@@ -92,7 +92,7 @@ def read_ofac(spark: SparkSession, path: str, source: str = "ofac_sdn") -> DataF
 
     k = F.col("kind")
     gender = F.create_map(*[F.lit(x) for kv in GENDER.items() for x in kv])
-    per_profile = feats.groupBy("profile").agg(
+    per_profile = feats.groupBy("pid").agg(
         gathered(k == FEATURE["dob"], "born").alias("dob"), gathered(k == FEATURE["pob"], "place").alias("pob"), gathered(k.isin(FEATURE["nationality"], FEATURE["citizenship"]), "area").alias("nationality"),
         gathered(k == FEATURE["address"], "place").alias("addresses"), F.max(F.when(k == FEATURE["gender"], F.element_at(gender, F.col("code")))).alias("gender"),
     )
@@ -100,11 +100,11 @@ def read_ofac(spark: SparkSession, path: str, source: str = "ofac_sdn") -> DataF
     docs = docs.groupBy(F.col("_IdentityID").alias("identity")).agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.nullif(t("IDRegDocType"), F.lit("")), F.lit("Unknown")).alias("type"), t("IDRegistrationNo").alias("value"), t("IssuingCountry").alias("country")))).alias("identifiers"))
     ent = xml(spark, path, "SanctionsEntry", f"_ProfileID string, EntryEvent array<struct<Date:{_DATE}>>, SanctionsMeasure array<struct<_SanctionsTypeID:string,Comment:string>>")
     kinds = _reference(spark, path, "SanctionsType")
-    prog = ent.select(F.col("_ProfileID").alias("profile"), F.explode_outer("SanctionsMeasure").alias("m"), F.get(F.col("EntryEvent"), F.lit(0))["Date"].alias("d")).join(kinds.select(F.col("id").alias("st"), F.lower("value").alias("kind")), F.col("m._SanctionsTypeID") == F.col("st"), "left")
-    prog = prog.groupBy("profile").agg(
+    prog = ent.select(F.col("_ProfileID").alias("pid"), F.explode_outer("SanctionsMeasure").alias("m"), F.get(F.col("EntryEvent"), F.lit(0))["Date"].alias("d")).join(kinds.select(F.col("id").alias("st"), F.lower("value").alias("kind")), F.col("m._SanctionsTypeID") == F.col("st"), "left")
+    prog = prog.groupBy("pid").agg(
         F.array_sort(F.collect_set(F.when(F.coalesce("kind", F.lit("program")) == "program", F.nullif(t("m.Comment"), F.lit(""))))).alias("programs"), F.min(date_parts(F.col("d.Year"), F.col("d.Month"), F.col("d.Day"))).alias("listed_on"),
     )
-    full = base.join(per_profile, "profile", "left").join(docs, "identity", "left").join(prog, "profile", "left")
+    full = base.join(per_profile, "pid", "left").join(docs, "identity", "left").join(prog, "pid", "left")
     return entries(
         full, id=F.concat(F.lit("ofac-"), F.col("ref")), source=F.lit(source), list_name=F.lit("OFAC SDN List" if source == "ofac_sdn" else "OFAC Consolidated List"), names=F.col("nm")["n"], alias_quality=F.col("nm")["q"],
         dob=listed("dob"), dob_approximate=F.exists(listed("dob"), lambda d: F.length(d) < 10), pob=listed("pob"), nationality=listed("nationality"), gender=F.col("gender"), addresses=listed("addresses"),

@@ -137,8 +137,8 @@ _LAST_PARTS = ("family-name", "maiden-name", "tribal-name")
 
 
 def read_switzerland(spark: SparkSession, path: str) -> DataFrame:
-    part = "struct<_name-part-type:string,value:string,spelling-variant:array<struct<_VALUE:string>>>"
-    ident = f"struct<_main:string,name:array<struct<name-part:array<{part}>>>,day-month-year:array<struct<_day:string,_month:string,_year:string>>,nationality:array<struct<country:string>>,identification-document:array<struct<_document-type:string,number:string,issuer:string>>>"
+    part = "struct<`_name-part-type`:string,value:string>"
+    ident = f"struct<_main:string,name:array<struct<`name-part`:array<{part}>>>,`day-month-year`:array<struct<_day:string,_month:string,_year:string>>,nationality:array<struct<country:string>>,`identification-document`:array<struct<`_document-type`:string,number:string,issuer:string>>>"
     df = xml(spark, path, "target", f"_ssid string, `_modification-type` string, `sanctions-program` array<string>, `foreign-identifier` string, individual struct<_sex:string,identity:array<{ident}>,justification:string,`other-information`:string>")
     df = df.filter(F.col("individual").isNotNull() & (F.coalesce(F.col("_modification-type"), F.lit("")) != "de-listed"))
 
