@@ -41,12 +41,14 @@ def merged_edges(pairs: DataFrame, entities: DataFrame) -> DataFrame:
 
 def _clusters(edges: DataFrame, level: int, beta: float, rounds: int) -> DataFrame:
     """v, c: each vertex with the centre that reaches it first within ``rounds`` steps."""
-    both = edges.select(F.col("a").alias("v"), F.col("b").alias("to")).unionAll(edges.select(F.col("b").alias("v"), F.col("a").alias("to")))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("to")), F.struct(F.col("b").alias("v"), F.col("a").alias("to")))).alias("x")).select("x.v", "x.to")
+    # with a step of no cost to itself a vertex keeps its value, and a round reads the last one only once
+    steps = materialize(ends.withColumn("cost", F.lit(1.0)).unionAll(ends.select("v", F.col("v").alias("to"), F.lit(0.0).alias("cost")).distinct()))
     unit = (F.pmod(F.xxhash64(F.col("v"), F.lit(level)), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
-    state = both.select("v").distinct().select("v", F.struct((F.log(unit) / beta).alias("at"), F.col("v").alias("c")).alias("s"))
+    state = steps.filter("cost = 0").select("v", F.struct((F.log(unit) / beta).alias("at"), F.col("v").alias("c")).alias("s"))
     for _ in range(rounds):
-        reached = both.join(state, "v").select(F.col("to").alias("v"), F.struct((F.col("s.at") + 1.0).alias("at"), F.col("s.c").alias("c")).alias("s"))
-        state = state.unionAll(reached).groupBy("v").agg(F.min("s").alias("s"))
+        reached = steps.join(state, "v").select(F.col("to").alias("v"), F.struct((F.col("s.at") + F.col("cost")).alias("at"), F.col("s.c").alias("c")).alias("s"))
+        state = reached.groupBy("v").agg(F.min("s").alias("s"))
     return state.select("v", F.col("s.c").alias("c"))
 
 
