@@ -1,8 +1,11 @@
 import io
+import itertools
+import json
+import random
 import zipfile
 from datetime import datetime
 
-from watchloom.operators import report, retrieval, store
+from watchloom.operators import report, resolve, retrieval, store
 from watchloom.operators.components import connected_components
 from watchloom.operators.snapshot_diff import diff_snapshots
 from watchloom.streaming.screen import screen_stream
@@ -98,3 +101,41 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r["subject"], r["id"], r["score"]) for r in got] == [("s1", "e1", 100.0)]
+
+
+ENTITY = "id string, source string, name string, aliases string, dob string, nationality string, identifiers string"
+
+
+def persons_by(spark, rows, pairs=None):
+    from pyspark.sql import functions as F
+
+    e = spark.createDataFrame(rows, ENTITY)
+    for c in resolve.RICHNESS:
+        e = e if c in e.columns else e.withColumn(c, F.lit(""))
+    got = resolve.persons(e, resolve.judged_pairs(resolve.blocked_pairs(e) if pairs is None else spark.createDataFrame(pairs, "id_a string, id_b string"), e))
+    return sorted(map(tuple, got.collect()))
+
+
+def test_persons_as_by_all_pairs(spark):
+    rnd = random.Random(5)
+    base = ["navid javed khan kimdiriruddin", "maria del carmen fernandez gutierrez", "al", "", "olga petrovna ivanova-smirnova of the north west"]
+    rows = []
+    for i in range(150):
+        name = list(rnd.choice(base))
+        for _ in range(rnd.choice((0, 0, 1, 1, 2, 3))):
+            at = rnd.randrange(len(name) + 1)
+            name[at : at + rnd.randrange(2)] = rnd.choice("aeiou ")
+        ids = [{"type": "p", "value": str(rnd.randrange(60))}] if rnd.random() < 0.4 else []
+        dob = rnd.choice(("", "", f"19{rnd.randrange(40, 99)}", "1970|1971", "1971|1972", "1970|1972"))
+        rows.append((f"{i:03}", rnd.choice(("x", "y", "", None)), "".join(name), "", dob, rnd.choice(("", "", "PK", "ES|PK", "RU", "NL")), json.dumps(ids)))
+    assert persons_by(spark, rows) == persons_by(spark, rows, list(itertools.combinations([r[0] for r in rows], 2)))
+
+
+def test_near_equal_names_are_judged(spark):
+    got = persons_by(spark, [("1", "x", "Navid Javed Khan Kimdiriruddin", "", "", "PAKISTAN", "[]"), ("2", "x", "Naveed Javed Khan Kimdiriruddin", "", "", "PAKISTAN", "[]")])
+    assert [(r[0], r[2], r[6]) for r in got] == [("1", 2, True)]
+
+
+def test_uncertain_pair_behind_sure_links(spark):
+    rows = [(str(i), "x", "Omar Farouk", "", dob, "EG", "[]") for i, dob in enumerate(("1970|1971", "1970", "1971"))]
+    assert persons_by(spark, rows)[0][6] is True

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.similarity import token_sort_ratio
+from ..functions.similarity import bulk_ratio, sorted_words, token_sort_ratio
+from ..session import materialize
 from .components import connected_components
 
 IDENTIFIERS = "array<struct<type:string,value:string,country:string>>"
@@ -56,25 +59,107 @@ def judged_pairs(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     return j.select("a_id", "b_id", "similarity", "rule", F.col("rule").isin(3, 4).alias("uncertain"))
 
 
-def blocked_pairs(entities: DataFrame, largest_block: int = 500) -> DataFrame:
-    """Pairs worth judging: entities that share a document key, a birth date with a name word, or a sorted name.
+_KEYS = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("index", "probe")])
 
-    Blocks above ``largest_block`` are split by a second name word before pairs are formed.
+
+def _segments(n: int, parts: int) -> list[tuple[int, int]]:
+    """(start, length) of ``parts`` even segments of ``n`` letters."""
+    return [(n * i // parts, n * (i + 1) // parts - n * i // parts) for i in range(parts)]
+
+
+def _edits(a: int, b: int, percent: int) -> int:
+    """Most insertions and deletions between texts of ``a`` and ``b`` letters whose ratio is above ``percent``; below |a - b| there are none."""
+    d = ((100 - percent) * (a + b) - 1) // 100
+    return d - (d - abs(a - b)) % 2
+
+
+def segment_keys(s: str, percent: int) -> tuple[list[str], list[str]]:
+    """Keys of a text as the shorter and as the longer of a pair: different texts with a ratio above ``percent`` share one.
+
+    With at most d edits, one of d + 1 segments of the shorter text stands whole in the longer one, shifted by
+    no more than the edits on either side of it allow.
     """
-    p = prepared(entities)
-    w = F.array_distinct(F.filter(F.split("name", r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 2))
-    keys = F.array_distinct(F.concat(
-        F.transform("keys", lambda k: F.concat(F.lit("i:"), k)),
-        F.flatten(F.transform("dobs", lambda d: F.transform(w, lambda t: F.concat(F.lit("d:"), d, F.lit("|"), t)))),
-        F.array(F.concat(F.lit("n:"), F.array_join(F.array_sort(w), " "))),
-    ))
-    rows = p.select("id", w.alias("w"), F.explode(keys).alias("k"))
-    size = rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(size, "k")
-    small = rows.filter(F.col("n") <= largest_block).select("id", "k")
-    big = rows.filter(F.col("n") > largest_block).select("id", F.explode(F.transform("w", lambda t: F.concat("k", F.lit("#"), t))).alias("k"))
-    r = small.unionByName(big)
-    return r.select("k", F.col("id").alias("id_a")).join(r.select("k", F.col("id").alias("id_b")), "k").filter("id_a < id_b").select("id_a", "id_b").distinct()
+    n, index, probe = len(s), set(), set()
+    m = n
+    while n and (d := _edits(n, m, percent)) >= m - n:
+        if d:
+            index.update(f"{n}|{d}|{i}|{s[p : p + w]}" for i, (p, w) in enumerate(_segments(n, d + 1)))
+        m += 1
+    m = n
+    while m and (d := _edits(m, n, percent)) >= n - m:
+        if d:
+            for i, (p, w) in enumerate(_segments(m, d + 1)):
+                for x in range(p - (d - n + m) // 2, p + (d + n - m) // 2 + 1):
+                    if x >= 0 and x + w <= n:
+                        probe.add(f"{m}|{d}|{i}|{s[x : x + w]}")
+        m -= 1
+    return sorted(index), sorted(probe)
+
+
+def similar_texts(texts: DataFrame, percent: int, within: str | None = None) -> DataFrame:
+    """[within,] s1, s2, similarity: all pairs of different texts ``s`` (of one ``within``) with a ratio above ``percent``, both ways round."""
+
+    @F.pandas_udf(_KEYS)
+    def keys(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([segment_keys(x, percent) for x in s], columns=["index", "probe"])
+
+    by = [within] if within else []
+    t = materialize(texts.select("s").distinct().withColumn("k", keys("s")).select("s", "k.index", "k.probe"))
+    t = texts.select(*by, "s").distinct().join(t, "s")
+    side = lambda c, name: t.select(*by, F.col("s").alias(name), F.explode(c).alias("k")).select(*by, name, F.xxhash64(*by, "k").alias("k"))
+    met = side("index", "x").join(side("probe", "y"), ["k", *by]).filter("x <> y").select(*by, F.least("x", "y").alias("s1"), F.greatest("x", "y").alias("s2")).distinct()
+    one = materialize(met.withColumn("similarity", F.round(bulk_ratio("s1", "s2") / 100, 6)).filter(F.col("similarity") > percent / 100))
+    return one.unionByName(one.select(*by, F.col("s2").alias("s1"), F.col("s1").alias("s2"), "similarity"))
+
+
+def blocked_pairs(entities: DataFrame) -> DataFrame:
+    """Pairs whose judgement gives the same persons, and the same uncertainty of each, as that of all pairs.
+
+    Rules 1 and 2 merge all holders of a document key, and all bearers of a name with a birth date: each is linked to
+    the smallest id.  For rules 3 and 4 a cell holds the bearers of a name in a country, or of a name in a source;
+    the rule merges all pairs of two cells, so every member is linked to the other cell's smallest id.
+    Where those links leave open whether a pair of two cells is uncertain (has no key and no birth date in common),
+    the first such pair is added.
+    """
+    p = materialize(prepared(entities).withColumn("s", sorted_words(F.col("name"))).withColumn("certain", F.array_distinct(F.concat(
+        F.transform("keys", lambda k: F.concat(F.lit("i:"), k)), F.transform("dobs", lambda d: F.concat(F.lit("d:"), d))))))
+
+    def star(members: DataFrame, by: list[str]) -> DataFrame:
+        return members.join(members.groupBy(*by).agg(F.min("id").alias("to")), by).select("id", "to")
+
+    held = star(p.select("id", F.explode("keys").alias("key")), ["key"])
+    born = p.select("id", "s", F.explode(F.array_distinct("dobs")).alias("dob"))
+    first = born.groupBy("dob", "s").agg(F.min("id").alias("id"))
+    alike = similar_texts(born, 90, "dob")
+    near = alike.join(first.select("dob", F.col("s").alias("s1"), "id"), ["dob", "s1"]).join(first.select("dob", F.col("s").alias("s2"), F.col("id").alias("to")), ["dob", "s2"]).select("id", "to")
+
+    country = p.select(F.lit(3).alias("rule"), F.explode(F.array_distinct("nats")).alias("part"), "s", "id", "certain")
+    source = p.filter("source <> ''").select(F.lit(4).alias("rule"), F.col("source").alias("part"), "s", "id", "certain")
+    members = materialize(country.unionByName(source))
+    cell = ["rule", "part", "s"]
+    always = members.select(*cell, F.explode("certain").alias("c")).groupBy(*cell, "c").agg(F.count("*").alias("m"))
+    cells = members.groupBy(*cell).agg(F.count("*").alias("n"), F.min(F.struct("id", "certain")).alias("first"))
+    whole = always.join(cells.select(*cell, "n"), cell).filter("m = n").groupBy(*cell).agg(F.collect_list("c").alias("always"))
+    cells = materialize(cells.join(whole, cell, "left").select(*cell, "n", "first", F.coalesce("always", F.array().cast("array<string>")).alias("always")))
+    names = similar_texts(p, 95).unionByName(p.select(F.col("s").alias("s1"), F.col("s").alias("s2"), F.lit(1.0).alias("similarity")).distinct())
+    a, b = (cells.select(*[F.col(c).alias(c + x) for c in cells.columns]) for x in "12")
+    fits = F.when(F.col("rule1") == 3, F.col("part1") == F.col("part2")).otherwise((F.col("part1") != F.col("part2")) & (F.col("similarity") > 0.97))
+    couples = materialize(names.join(a, "s1").join(b, "s2").filter((F.col("rule1") == F.col("rule2")) & fits))
+    ends = ["rule1", "part1", "s1", "part2", "s2"]
+    side = lambda x: members.select(*[F.col(c).alias(c + x) for c in cell], F.col("id").alias("id" + x), F.col("certain").alias("certain" + x))
+    links = materialize(couples.select(*ends, "first2").join(side("1"), ["rule1", "part1", "s1"]).filter(F.col("id1") != F.col("first2.id")).select(
+        *ends, F.col("id1").alias("id"), F.col("first2.id").alias("to"), F.arrays_overlap("certain1", "first2.certain").alias("sure")))
+
+    # cells of several members where all links are sure and no key or date is common to all: is any other pair uncertain?
+    shown = links.filter("not sure").select(*ends).distinct()
+    unsure = couples.filter((F.col("n1") > 1) & (F.col("n2") > 1) & ((F.col("s1") < F.col("s2")) | ((F.col("s1") == F.col("s2")) & (F.col("part1") <= F.col("part2")))))
+    unsure = unsure.filter(~F.arrays_overlap("always1", "always2")).select(*ends).join(shown, ends, "left_anti")
+    kinds = members.withColumn("certain", F.array_sort("certain")).groupBy(*cell, "certain").agg(F.min("id").alias("id"))
+    kind = lambda x: kinds.select(*[F.col(c).alias(c + x) for c in (*cell, "id", "certain")])
+    open_ = unsure.join(kind("1"), ["rule1", "part1", "s1"]).withColumn("rule2", F.col("rule1")).join(kind("2"), ["rule2", "part2", "s2"])
+    open_ = open_.filter(~F.arrays_overlap("certain1", "certain2")).groupBy(*ends).agg(F.min(F.struct(F.col("id1").alias("id"), F.col("id2").alias("to"))).alias("x")).select("x.*")
+    every = held.union(star(born, ["dob", "s"])).union(near).union(links.select("id", "to")).union(open_)
+    return every.filter("id <> to").select(F.least("id", "to").alias("id_a"), F.greatest("id", "to").alias("id_b")).distinct()
 
 
 RICHNESS = ("name", "aliases", "dob", "pob", "nationality", "gender", "identifiers", "addresses", "designation", "listing_reason", "listed_on", "programs", "source_url")
