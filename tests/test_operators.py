@@ -139,3 +139,8 @@ def test_near_equal_names_are_judged(spark):
 def test_uncertain_pair_behind_sure_links(spark):
     rows = [(str(i), "x", "Omar Farouk", "", dob, "EG", "[]") for i, dob in enumerate(("1970|1971", "1970", "1971"))]
     assert persons_by(spark, rows)[0][6] is True
+
+
+def test_block_of_any_size_is_whole(spark):
+    rows = [(f"{i:03}", "x", f"q{i}", "", "", "", '[{"type": "p", "value": "1"}]') for i in range(502)]
+    assert [(r[0], r[2], r[6]) for r in persons_by(spark, rows)] == [("000", 502, False)]
