@@ -264,3 +264,18 @@ def test_columns_of_found_queries(spark):
     qs = queries.queries()
     for k, cols in want.items():
         assert qs[k](spark, d).columns == cols
+
+
+def test_retrieval_within_a_hot_group(spark):
+    from watchloom.llm import entity_match
+
+    rows = [(f"x{i:03}", "x", ["k:khan", f"r:{i}"]) for i in range(160)] + [(f"y{i:03}", "y", ["k:khan", f"q:{i}"]) for i in range(160)] + [("y999", "y", ["k:khan", "n:omar|khan"])]
+    entries = spark.createDataFrame(rows, "id string, source string, terms array<string>")
+    for block in (12_000, 50):
+        got = entity_match.retrieve(entries, block=block).collect()
+        best = {}
+        for r in got:
+            best.setdefault(r["a"], set()).add(r["b"])
+        assert len(best) == 160 and all({"y000", "y001"} <= v for v in best.values())
+    near = entity_match.mutual_nearest(entity_match.retrieve(entries)).collect()
+    assert [(r["a"], r["b"]) for r in near] == [("x000", "y000")]
