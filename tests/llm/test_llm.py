@@ -279,3 +279,16 @@ def test_retrieval_within_a_hot_group(spark):
         assert len(best) == 160 and all({"y000", "y001"} <= v for v in best.values())
     near = entity_match.mutual_nearest(entity_match.retrieve(entries)).collect()
     assert [(r["a"], r["b"]) for r in near] == [("x000", "y000")]
+
+
+def test_slips_in_given_names_meet(spark):
+    from watchloom.llm import name_variants
+
+    pairs = [("nomar gomsolopak", "tomar gomsolopak"), ("zelim kimdiriruddin", "delim kimdiriruddin"), ("tarvok hartanutouri", "tarlok hartanutoury")]
+    typed, listed = (name_variants.described(spark.createDataFrame([(p[i],) for p in pairs], "form string")) for i in (0, 1))
+    got = {tuple(r) for r in name_variants.candidate_pairs(typed, listed, 4, 32).collect()}
+    assert got == set(pairs)
+    dated = [name_variants.evidence_keys(spark.createDataFrame([(f, [[4, 1970, 1970, 1, 2]], [])], "form string, dobs array<array<int>>, nums array<string>")) for f in ("qadvik gomsolopak", "tarlo gomsolopk")]
+    from watchloom.llm import attributes
+
+    assert attributes.FULL == 4 and name_variants.dated_pairs(*dated).count() == 1
