@@ -144,3 +144,13 @@ def test_uncertain_pair_behind_sure_links(spark):
 def test_block_of_any_size_is_whole(spark):
     rows = [(f"{i:03}", "x", f"q{i}", "", "", "", '[{"type": "p", "value": "1"}]') for i in range(502)]
     assert [(r[0], r[2], r[6]) for r in persons_by(spark, rows)] == [("000", 502, False)]
+
+
+def test_screen_topk_keeps_all_of_a_hot_name(spark, tmp_path):
+    from watchloom.plans import queries
+
+    cols = "id string, name string, name_latin string, name_ascii string, aliases string, phonetic_primary string, phonetic_alt string"
+    spark.createDataFrame([(f"e{i:02}", "Omar Farouk", "Omar Farouk", "Omar Farouk", "", "OMR FRK", "O560 F620") for i in range(41)], cols).write.parquet(str(tmp_path / "sanctions_entities.parquet"))
+    spark.createDataFrame([("s1", '{"name": "omar farouk"}')], "id string, user_input string").write.parquet(str(tmp_path / "screenings.parquet"))
+    for q in ("screen_topk", "bm25_candidates", "phonetic_candidates"):
+        assert queries.queries()[q](spark, str(tmp_path)).count() == 41

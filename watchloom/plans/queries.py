@@ -79,17 +79,17 @@ def prefix_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def screen_topk(s: SparkSession, d: str) -> DataFrame:
-    return screen(subjects_of(table(s, d, "screenings")), _entities(s, d), candidates=25, k=10).select("subject", "id", "score", "position")
+    return screen(subjects_of(table(s, d, "screenings")), _entities(s, d)).select("subject", "id", "score", "position")
 
 
 def bm25_candidates(s: SparkSession, d: str) -> DataFrame:
     subj = subjects_of(table(s, d, "screenings"))
-    return retrieval.bm25_topk(query_rows(subj), retrieval.token_index(_entities(s, d)), 5).select("subject", "id", "rank_score", "ord")
+    return retrieval.bm25_topk(query_rows(subj), retrieval.token_index(_entities(s, d))).select("subject", "id", "rank_score", "ord")
 
 
 def phonetic_candidates(s: SparkSession, d: str) -> DataFrame:
     subj = subjects_of(table(s, d, "screenings"))
-    return retrieval.bm25_topk(phonetic_rows(subj), retrieval.token_index(_entities(s, d), ("phonetic_primary",)), 5).select("subject", "id", "ord")
+    return retrieval.bm25_topk(phonetic_rows(subj), retrieval.token_index(_entities(s, d), ("phonetic_primary", "phonetic_alt"))).select("subject", "id", "ord")
 
 
 def soundex_names(s: SparkSession, d: str) -> DataFrame:
