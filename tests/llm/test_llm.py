@@ -285,10 +285,32 @@ def test_slips_in_given_names_meet(spark):
     from watchloom.llm import name_variants
 
     pairs = [("nomar gomsolopak", "tomar gomsolopak"), ("zelim kimdiriruddin", "delim kimdiriruddin"), ("tarvok hartanutouri", "tarlok hartanutoury")]
-    typed, listed = (name_variants.described(spark.createDataFrame([(p[i],) for p in pairs], "form string")) for i in (0, 1))
-    got = {tuple(r) for r in name_variants.candidate_pairs(typed, listed, 4, 32).collect()}
+    typed, listed = (spark.createDataFrame([(p[i],) for p in pairs], "form string") for i in (0, 1))
+    got = {tuple(r) for r in name_variants.candidate_pairs(typed, listed, 3, 32).collect()}
     assert got == set(pairs)
     dated = [name_variants.evidence_keys(spark.createDataFrame([(f, [[4, 1970, 1970, 1, 2]], [])], "form string, dobs array<array<int>>, nums array<string>")) for f in ("qadvik gomsolopak", "tarlo gomsolopk")]
     from watchloom.llm import attributes
 
     assert attributes.FULL == 4 and name_variants.dated_pairs(*dated).count() == 1
+
+
+def test_split_and_glued_names_meet(spark):
+    pairs = [("anatolii voms ensky", "anatoliy vomsensky"), ("jean pierretikranunngo", "jean pierre tikranunngo"), ("m f boubautkele", "musa francois boubautkele"), ("asif gokl ashana", "aasif habibullah goklashana"), ("michaildilvadunov anatoly", "mikhail dilvadunov anatoly")]
+    typed, listed = (spark.createDataFrame([(p[i],) for p in pairs], "form string") for i in (0, 1))
+    got = {(r["typed"], r["listed"]) for r in name_variants.link_variants(typed, listed).collect()}
+    assert got == set(pairs)
+
+
+def test_hot_key_is_salted(spark):
+    a = spark.createDataFrame([(1, i) for i in range(1000)] + [(2, 1), (None, 5)], "k int, a int")
+    b = spark.createDataFrame([(1, 7), (1, 8), (2, 9), (None, 6)], "k int, b int")
+    assert sorted(map(tuple, name_variants.salted_join(a, b, ["k"], 10).collect())) == sorted(map(tuple, a.join(b, "k").collect()))
+
+
+def test_undated_subjects(spark):
+    """A name with nothing to compare is a link, unless another entry of the name shows the subject to be a namesake."""
+    e = ent(spark, [dict(id="a", name="Maksim Gomsolopak"), dict(id="b", name="Ivan Rilradazov", dob="1950-01-02", nationality="RU"), dict(id="c", name="Ivan Rilradazov")])
+    js = ['{"name": "Maxim Gomsolopak"}', '{"name": "Ivan Rilradazov", "dob": "1990-05-06", "nationality": "FR"}', '{"name": "Ivan Rilradazov", "nationality": "FR"}', '{"name": "Ivan Rilradazov", "nationality": "Russia"}']
+    s = spark.createDataFrame([(f"s{i}", j) for i, j in enumerate(js)], "id string, user_input string")
+    got = sorted((r["screening_id"], r["entity_id"]) for r in name_variants.link_screenings(s, e).collect())
+    assert got == [("s0", "a"), ("s3", "b"), ("s3", "c")]

@@ -469,8 +469,31 @@ def name_parts(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, float, fl
     """(match, family, given): how well two names can be spellings of one another, each in 0..1.
 
     The Monge-Elkan similarity, refined by the agreement of the family names and of the first given
-    name: relatives share the family name, and often a second name.
+    name: relatives share the family name, and often a second name.  Neighbouring tokens of one side count as
+    one where that makes the other side's family name, or all of its letters.
     """
+    best = _parts(a, b)
+    if best[1] >= 0.9 or len(a) + len(b) < 3:
+        return best
+    for x, y in ((a, b), (b, a)):
+        j, _ = _split_name(y)
+        if len(x) < 2 or not y:
+            continue
+        family = y[j]
+        for i in range(len(x) - 1):
+            glued = x[i] + x[i + 1]
+            if abs(len(glued) - len(family)) > 2 or token_sim(glued, family) < 0.87:
+                continue
+            whole = x[:i] + (glued,) + x[i + 2 :]
+            if len(whole) == 1 and len(y) == 1:
+                got = (token_sim(glued, family),) * 2 + (1.0,)
+            else:
+                got = _parts(whole, y)
+            best = max(best, got)
+    return best
+
+
+def _parts(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, float, float]:
     s = monge_elkan(list(a), list(b))
     if s < 0.55:
         return s, 0.0, 0.0
@@ -486,10 +509,15 @@ def name_parts(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, float, fl
         return min(s, 0.5), fam, 0.0
     if not ra or not rb:
         return min(s, 0.7), fam, 0.0
-    if ra[0] == "m" and len(ra) > 1:
-        ra = ra[1:]
-    if rb[0] == "m" and len(rb) > 1:
-        rb = rb[1:]
+    return max(_others(s, fam, x, y) for x in _less_m(ra) for y in _less_m(rb))
+
+
+def _less_m(rest: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """Other names, also without a leading ``m``: it may stand for a name left out on the other side."""
+    return [rest, rest[1:]] if rest[0] == "m" and len(rest) > 1 else [rest]
+
+
+def _others(s: float, fam: float, ra: tuple[str, ...], rb: tuple[str, ...]) -> tuple[float, float, float]:
     first = token_sim(ra[0], rb[0])
     if first >= 0.75:
         rest = 1.0
