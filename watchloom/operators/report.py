@@ -58,6 +58,7 @@ def to_report_json(df: DataFrame) -> DataFrame:
     return df.select("id", F.to_json(F.struct(*df.columns)).alias("report"))
 
 
+# Fill colours of decisions.
 _FILL = {"CLEARED": "C6EFCE", "LIKELY_MATCH": "FFC7CE", "ESCALATE": "FFEB9C"}
 
 

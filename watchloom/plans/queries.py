@@ -17,9 +17,10 @@ from .screening import phonetic_rows, query_rows, screen, subjects_of
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _entities(s: SparkSession, d: str) -> DataFrame:
-    """The entity table, one row an id (exact repetitions only differ in nothing)."""
-    return table(s, d, "sanctions_entities").filter("id is not null").distinct()
+def _entities(s: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Columns of the entity table (all if none are named), one row an id: rows of one id are exact repetitions, so what is left out can't tell them apart."""
+    e = table(s, d, "sanctions_entities").filter("id is not null")
+    return (e.select("id", *[c for c in cols if c != "id"]) if cols else e).distinct()
 
 
 def scan_filter_project(s: SparkSession, d: str) -> DataFrame:
@@ -42,16 +43,16 @@ def content_signature(s: SparkSession, d: str) -> DataFrame:
 
 
 def lookup_left_default(s: SparkSession, d: str) -> DataFrame:
-    return lookup.lookup_or_default(_entities(s, d).select("id", "source"), table(s, d, "list_sources"), "source", "kind")
+    return lookup.lookup_or_default(_entities(s, d, "source"), table(s, d, "list_sources"), "source", "kind")
 
 
 def semi_sanctions(s: SparkSession, d: str) -> DataFrame:
     ref = table(s, d, "list_sources").filter("kind = 'sanctions'")
-    return lookup.semi(_entities(s, d).select("id", "source"), ref, "source")
+    return lookup.semi(_entities(s, d, "source"), ref, "source")
 
 
 def collect_docs_per_identity(s: SparkSession, d: str) -> DataFrame:
-    e = _entities(s, d).select("id", F.explode(resolve.id_keys(resolve.id_list(F.col("identifiers")))).alias("k"))
+    e = _entities(s, d, "identifiers").select("id", F.explode(resolve.id_keys(resolve.id_list(F.col("identifiers")))).alias("k"))
     return lookup.collect_per_key(e, "id", "k", "documents")
 
 
@@ -68,7 +69,7 @@ def alias_tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 def _alias_index(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.token_index(_entities(s, d).select("id", "aliases"), ("aliases",))
+    return retrieval.token_index(_entities(s, d, "aliases"), ("aliases",))
 
 
 def prefix_candidates(s: SparkSession, d: str) -> DataFrame:
@@ -79,30 +80,30 @@ def prefix_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def screen_topk(s: SparkSession, d: str) -> DataFrame:
-    return screen(subjects_of(table(s, d, "screenings")), _entities(s, d)).select("subject", "id", "score", "position")
+    return screen(subjects_of(table(s, d, "screenings")), _entities(s, d, *retrieval.COLUMNS)).select("subject", "id", "score", "position")
 
 
 def bm25_candidates(s: SparkSession, d: str) -> DataFrame:
     subj = subjects_of(table(s, d, "screenings"))
-    return retrieval.bm25_topk(query_rows(subj), retrieval.token_index(_entities(s, d))).select("subject", "id", "rank_score", "ord")
+    return retrieval.bm25_topk(query_rows(subj), retrieval.token_index(_entities(s, d, *retrieval.COLUMNS))).select("subject", "id", "rank_score", "ord")
 
 
 def phonetic_candidates(s: SparkSession, d: str) -> DataFrame:
     subj = subjects_of(table(s, d, "screenings"))
-    return retrieval.bm25_topk(phonetic_rows(subj), retrieval.token_index(_entities(s, d), ("phonetic_primary", "phonetic_alt"))).select("subject", "id", "ord")
+    return retrieval.bm25_topk(phonetic_rows(subj), retrieval.token_index(_entities(s, d, "phonetic_primary", "phonetic_alt"), ("phonetic_primary", "phonetic_alt"))).select("subject", "id", "ord")
 
 
 def soundex_names(s: SparkSession, d: str) -> DataFrame:
-    return _entities(s, d).select("id", text.soundex_words(F.col("name_ascii")).alias("code"))
+    return _entities(s, d, "name_ascii").select("id", text.soundex_words(F.col("name_ascii")).alias("code"))
 
 
 def metaphone_names(s: SparkSession, d: str) -> DataFrame:
-    return _entities(s, d).select("id", text.metaphone(F.col("name_ascii")).alias("code"))
+    return _entities(s, d, "name_ascii").select("id", text.metaphone(F.col("name_ascii")).alias("code"))
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
     """Distinct pairs of earlier decisions with both entries."""
-    e = _entities(s, d)
+    e = _entities(s, d, "source", "name", "dob", "nationality", "gender", "identifiers", "listed_on")
     p = table(s, d, "match_pairs").filter("id_a is not null and id_b is not null and id_a <> id_b").select(F.least("id_a", "id_b").alias("a_id"), F.greatest("id_a", "id_b").alias("b_id")).distinct()
     cols = ("source", "name", "dob", "nationality", "gender", "identifiers", "listed_on")
     return p.join(e.select(F.col("id").alias("a_id"), *[F.col(c).alias("a_" + c) for c in cols]), "a_id").join(e.select(F.col("id").alias("b_id"), *[F.col(c).alias("b_" + c) for c in cols]), "b_id")
@@ -143,7 +144,7 @@ def _years(c: str) -> Column:
 
 
 def birth_years(s: SparkSession, d: str) -> DataFrame:
-    return _entities(s, d).select("id", F.array_join(F.transform(_years("dob"), lambda y: y.cast("string")), ",").alias("years"))
+    return _entities(s, d, "dob").select("id", F.array_join(F.transform(_years("dob"), lambda y: y.cast("string")), ",").alias("years"))
 
 
 def rule_cascade(s: SparkSession, d: str) -> DataFrame:
@@ -160,7 +161,7 @@ def messy_dates(s: SparkSession, d: str) -> DataFrame:
 def guard_no_data(s: SparkSession, d: str) -> DataFrame:
     ids = resolve.id_list(F.col("identifiers"))
     v = decide.no_data_guard(F.lit("CLEARED"), F.array("source"), resolve.items(F.col("dob")), resolve.items(F.col("nationality")), F.transform(ids, lambda i: F.coalesce(i["value"], F.lit(""))))
-    return _entities(s, d).select("source", v.alias("verdict")).groupBy("source", "verdict").agg(F.count("*").alias("n"))
+    return _entities(s, d, "source", "dob", "nationality", "identifiers").select("source", v.alias("verdict")).groupBy("source", "verdict").agg(F.count("*").alias("n"))
 
 
 def verdict_rollup(s: SparkSession, d: str) -> DataFrame:
@@ -170,7 +171,7 @@ def verdict_rollup(s: SparkSession, d: str) -> DataFrame:
 
 
 def batch_numbers(s: SparkSession, d: str) -> DataFrame:
-    n = decide.numbered(_entities(s, d).select("source", "id").distinct(), "source", ["id"])
+    n = decide.numbered(_entities(s, d, "source"), "source", ["id"])
     return n.select("source", "id", "match_number", decide.batch_number(F.col("match_number")).alias("batch_no"))
 
 
@@ -203,15 +204,15 @@ def json_fields(s: SparkSession, d: str) -> DataFrame:
 
 
 def json_guarded_parse(s: SparkSession, d: str) -> DataFrame:
-    return _entities(s, d).select("id", F.size(resolve.id_list(F.col("identifiers"))).alias("documents"))
+    return _entities(s, d, "identifiers").select("id", F.size(resolve.id_list(F.col("identifiers"))).alias("documents"))
 
 
 def report_rows(s: SparkSession, d: str) -> DataFrame:
-    return report.report_row(_entities(s, d))
+    return report.report_row(_entities(s, d, "name", "aliases", "dob", "nationality", "gender", "source", "identifiers"))
 
 
 def union_priority_dedup(s: SparkSession, d: str) -> DataFrame:
-    live = _entities(s, d).select("source", "id", F.lit("live").alias("origin"))
+    live = _entities(s, d, "source").select("source", "id", F.lit("live").alias("origin"))
     old = table(s, d, "entity_snapshots").filter("id is not null").select("source", "id", F.lit("snapshot").alias("origin")).distinct()
     return retrieval.union_by_priority([live, old], ["source", "id"])
 

@@ -19,6 +19,7 @@ class Feed:
     least: int = 0
 
 
+# Least numbers of entries below which a feed is taken for incomplete.
 FEEDS = (
     Feed("ofac_sdn", lambda s, p: ofac.read_ofac(s, p, "ofac_sdn"), 6000), Feed("ofac_cons", lambda s, p: ofac.read_ofac(s, p, "ofac_cons")),
     Feed("un_consolidated", xml_feeds.read_un, 500), Feed("eu_fsf", xml_feeds.read_eu, 1000), Feed("uk_sanctions", xml_feeds.read_uk), Feed("ca_sema", xml_feeds.read_canada),
@@ -35,7 +36,7 @@ def flat_table(entries: DataFrame) -> DataFrame:
     plain = entries.withColumn("name", name).withColumn("name_latin", text.composed("name")).withColumn("name_ascii", text.ascii_only("name"))
     letters = F.regexp_replace("name_ascii", r"[^A-Za-z\s]", "")
     return plain.select(
-        "id", "source", "list_name", "name", "name_latin", "name_ascii", bar(F.slice("names", 2, 10_000)).alias("aliases"), text.metaphone(letters).alias("phonetic_primary"), text.soundex_words(letters).alias("phonetic_alt"),
+        "id", "source", "list_name", "name", "name_latin", "name_ascii", bar(F.slice("names", F.lit(2), F.size("names"))).alias("aliases"), text.metaphone(letters).alias("phonetic_primary"), text.soundex_words(letters).alias("phonetic_alt"),
         bar("dob").alias("dob"), F.col("dob_approximate").cast("int").alias("dob_approximate"), bar("pob").alias("pob"), bar("nationality").alias("nationality"), "gender", F.to_json("identifiers").alias("identifiers"),
         bar("addresses").alias("addresses"), "designation", "listing_reason", "listed_on", bar("programs").alias("programs"), "source_url", F.coalesce("raw", F.lit("{}")).alias("raw_json"),
     )
