@@ -126,7 +126,7 @@ def test_retrieval_is_exact(spark):
     e = spark.read.parquet(DIR + "/sanctions_entities.parquet")
     entries = entity_match.indexed(entity_match.entity_profiles(e)).cache()
     got = collections.defaultdict(list)
-    for r in entity_match.retrieve(entries, essential_df=10_000).collect():
+    for r in entity_match.retrieve(entries).collect():
         got[r["a"], r["source_b"]].append((round(r["score"], 6), r["b"]))
         got[r["b"], r["source_a"]].append((round(r["score"], 6), r["a"]))
     rows = [(r["id"], r["source"], set(r["terms"])) for r in entries.select("id", "source", "terms").collect()]

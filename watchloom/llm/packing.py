@@ -117,7 +117,7 @@ def pack(documents: DataFrame, windows: list[tuple[str, int]], shard_rows: int =
     """window_name, container_id, doc_id, piece_no, tokens of every text or piece for each window.
 
     ``windows`` holds a few (name, capacity) pairs.  ``shard_rows`` bounds the texts a task holds at
-    a time; ids repeated many times share a shard only through their hash with a row number.
+    a time; a row's number is hashed with it, so that repeated rows spread over the shards.
     """
     path = path or vocabulary()
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
@@ -144,5 +144,5 @@ def pack(documents: DataFrame, windows: list[tuple[str, int]], shard_rows: int =
             rows += [(w, f"{w}-{shard}-{box}", ids[i], p, k) for i, p, box, k in pack_shard(sizes, c, near)]
         return pd.DataFrame(rows, columns=["window_name", "container_id", "doc_id", "piece_no", "tokens"]).astype({"piece_no": "int32", "tokens": "int32"})
 
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    shard = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n)).cast("int")
     return docs.withColumn("shard", shard).repartition(min(n, 4000), "shard").groupBy("shard").applyInPandas(run, SCHEMA)

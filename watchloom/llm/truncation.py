@@ -30,8 +30,6 @@ from ..session import materialize
 #: Context lengths in characters; negative ones are taken over the word shape.
 SIZES = (2, 4, -10, 7, 11, -18)
 _LONGEST = 18
-#: Below these log-odds a text is cut whatever its group's share of cut texts.
-SURELY_CUT = 1.0
 _MARK = re.compile(r"[\s​]*(?:�+|…|\.\.\.|\[…\]|\[\.\.\.\]|\(…\))?[\s​]*$")
 _DIGITS = str.maketrans("123456789", "000000000")
 _CAPITAL = re.compile(r"[^\W\d_a-zа-яßà-öø-ÿ][\w'’]*")
@@ -85,33 +83,6 @@ def _hashes(bodies: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 _BATCH = 3_000_000
 
 
-def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Occurrences of every context in the texts of a task, aggregated before the shuffle."""
-    held: list[str] = []
-    size = 0
-
-    def flush() -> Iterator[pd.DataFrame]:
-        for k, h, _ in _hashes(held):
-            u, n = np.unique(h, return_counts=True)
-            yield pd.DataFrame({"k": np.full(len(u), k, np.int32), "h": u.view(np.int64), "n": n})
-
-    for pdf in batches:
-        for t in pdf["text"]:
-            held.append(_body(t))
-            size += len(t)
-            if size > _BATCH:
-                yield from flush()
-                held.clear()
-                size = 0
-    if held:
-        yield from flush()
-
-
-def _tail(body: str) -> str:
-    """Enough of a text's end for its final contexts, also those over its word shape."""
-    return body[-40 * _LONGEST :]
-
-
 def _broken_structure(t: str) -> bool:
     s = t.strip()
     if s.endswith("�"):
@@ -125,19 +96,45 @@ def _broken_structure(t: str) -> bool:
         return "Extra data" not in str(e)
 
 
-def _end_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_HS = [f"h{i}" for i in range(len(SIZES))]
+_PASS = "k int, h bigint, n bigint, doc_id bigint, source string, lang string, len int, broken boolean, " + ", ".join(f"{h} bigint" for h in _HS)
+
+
+def _one_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the texts of a task, hashed once: occurrences of every context (k, h, n), aggregated before the shuffle, and a row a text with its final contexts."""
+    held: list[pd.DataFrame] = []
+    size = 0
+
+    def flush() -> Iterator[pd.DataFrame]:
+        own = {c: [x for p in held for x in p[c].tolist()] for c in ("doc_id", "text", "source", "lang")}
+        texts, final = own.pop("text"), {}
+        for k, h, ends in _hashes([_body(t) for t in texts]):
+            u, n = np.unique(h, return_counts=True)
+            final[k] = ends.view(np.int64).copy()
+            yield whole({"k": np.full(len(u), k, np.int32), "h": u.view(np.int64), "n": n}, len(u))
+        own |= {"len": [len(t) for t in texts], "broken": [_broken_structure(t) for t in texts]} | {f"h{i}": final[k] for i, k in enumerate(SIZES)}
+        yield whole({c: pd.Series(x, dtype=object) if c == "doc_id" else x for c, x in own.items()}, len(texts))
+
+    def whole(given: dict, n: int) -> pd.DataFrame:
+        return pd.DataFrame({c: given[c] if c in given else np.full(n, None, object) for c in columns})
+
+    columns = [c.split()[0] for c in _PASS.split(", ")]
     for pdf in batches:
-        texts = pdf["text"].tolist()
-        final = {k: e for k, _, e in _hashes([_tail(_body(t)) for t in texts])}
-        cols = {f"h{i}": final[k].view(np.int64) for i, k in enumerate(SIZES)}
-        yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "source": pdf["source"], "lang": pdf["lang"], "len": [len(t) for t in texts], "broken": [_broken_structure(t) for t in texts], **cols})
+        held.append(pdf)
+        size += int(pdf["text"].str.len().sum())
+        if size > _BATCH:
+            yield from flush()
+            held.clear()
+            size = 0
+    if held and sum(map(len, held)):
+        yield from flush()
 
 
 def _blank() -> Column:
     return F.regexp_replace("text", r"[\p{Z}\p{Cc}\p{Cf}]+", "") == ""
 
 
-def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
+def _fit_source(pdf: pd.DataFrame, surely: float) -> pd.DataFrame:
     """EM over one source's histogram: its rows with the decision on each (language, length, bin)."""
     n = pdf["n"].to_numpy(float)
     ratio = np.exp(np.clip(pdf["bin"].to_numpy(float) / 4.0, -30, 30))
@@ -165,27 +162,26 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
         pi_lang = np.clip((np.bincount(lang, post * plain, len(by_lang)) + a * overall) / (np.bincount(lang, n * plain, len(by_lang)) + a), 1e-4, 0.5)
         pi_len = np.clip((np.bincount(length, post, len(by_len)) + 2 * 0.5) / (by_len + 2), 1e-4, 0.97)
     prior = np.where(piled[length], pi_len[length], pi_lang[lang])
-    cut = (prior / (prior + (1 - prior) * ratio) > 0.5) | (pdf["bin"].to_numpy(float) / 4.0 < SURELY_CUT)
+    cut = (prior / (prior + (1 - prior) * ratio) > 0.5) | (pdf["bin"].to_numpy(float) / 4.0 < surely)
     return pd.DataFrame({"source": pdf["source"], "lang": pdf["lang"], "len": pdf["len"], "bin": pdf["bin"], "cut": cut})
 
 
-def detect_truncated(documents: DataFrame, rounds: int = 3, expected: float = 0.08) -> DataFrame:
+def detect_truncated(documents: DataFrame, rounds: int = 3, expected: float = 0.08, surely: float = 1.0) -> DataFrame:
     """doc_id, source, ``log_odds`` of ending here and ``cut`` for every text that isn't blank.
 
-    ``expected`` is the share of cut texts with which the fitting begins.  Repeated rows keep their
+    ``expected`` is the share of cut texts with which the fitting begins; below the log-odds ``surely`` a text is cut
+    whatever the fitted threshold of its group.  Repeated rows keep their
     number.  A missing language, source or type is a group of its own; no texts give no rows.
     """
     docs = (
         documents.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"))
         .filter(F.col("text").isNotNull() & ~_blank())
     )
-    counts = docs.select("text").mapInPandas(_count_batches, "k int, h bigint, n bigint").groupBy("k", "h").agg(F.sum("n").alias("total"))
-    hs = [f"h{i}" for i in range(len(SIZES))]
-    ends = materialize(
-        docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "source", "lang", "text").mapInPandas(
-            _end_batches, "row bigint, doc_id bigint, source string, lang string, len int, broken boolean, " + ", ".join(f"{h} bigint" for h in hs)
-        )
-    )
+    hs = _HS
+    read = materialize(docs.mapInPandas(_one_pass, _PASS))
+    met = read.filter("k is not null").select("k", "h", "n")
+    counts = met.groupBy("k", "h").agg(F.sum("n").alias("total"))
+    ends = read.filter("k is null").drop("k", "h", "n")
     # texts share few distinct final contexts; scores are worked out once for each
     finals = ends.groupBy(*hs).agg(F.count("*").alias("n"))
     key = F.xxhash64(*hs).alias("final")
@@ -193,7 +189,7 @@ def detect_truncated(documents: DataFrame, rounds: int = 3, expected: float = 0.
     contexts = long.select("k", "h").distinct().join(counts, ["k", "h"])
     long = materialize(long.join(contexts, ["k", "h"]))
     # the share of places where a text ends, over all texts
-    base = counts.filter(F.col("k") == SIZES[0]).agg(F.sum("total").alias("places")).first()["places"]
+    base = met.filter(F.col("k") == SIZES[0]).agg(F.sum("n").alias("places")).first()["places"]
     n_texts = ends.count()
     prior = min(0.5, max(1, n_texts) / max(2, base or 2))
     ended = long.withColumn("own", F.lit(1.0))
@@ -206,7 +202,7 @@ def detect_truncated(documents: DataFrame, rounds: int = 3, expected: float = 0.
         ended = long.join(odds.select("final", F.greatest(1 - F.lit(expected) * F.exp(-F.col("log_odds")), F.lit(0.0)).alias("own")), "final")
     texts = ends.withColumn("final", F.xxhash64(*hs)).join(odds, "final").withColumn("bin", F.floor(F.col("log_odds") * 4).cast("int"))
     histogram = texts.groupBy("source", "lang", "len", "bin").agg(F.count("*").alias("n"))
-    decided = histogram.groupBy("source").applyInPandas(_fit_source, "source string, lang string, len int, bin int, cut boolean")
+    decided = histogram.groupBy("source").applyInPandas(lambda p: _fit_source(p, surely), "source string, lang string, len int, bin int, cut boolean")
     return texts.join(decided, ["source", "lang", "len", "bin"]).select("doc_id", F.when(F.col("source") != "", F.col("source")).alias("source"), F.round("log_odds", 4).alias("log_odds"), (F.col("cut") | F.col("broken")).alias("cut"))
 
 
