@@ -75,10 +75,21 @@ def batch_number(n: Column, size: int = 25) -> Column:
     return F.floor((n - 1) / size).cast("int")
 
 
+def doubt_in(reasoning: Column) -> Column:
+    """The first of the fixed wordings of doubt that a text holds; null if none."""
+    low = F.lower(F.coalesce(reasoning, F.lit("")))
+    return F.get(F.filter(F.array(*[F.lit(p) for p in DOUBT]), lambda p: F.contains(low, p)), 0)
+
+
 def doubt_guard(verdict: Column, reasoning: Column) -> Column:
     """ESCALATE where a clearing verdict's own reasoning voices doubt."""
-    low = F.lower(F.coalesce(reasoning, F.lit("")))
-    return F.when((verdict == "CLEARED") & F.exists(F.array(*[F.lit(p) for p in DOUBT]), lambda p: F.contains(low, p)), "ESCALATE").otherwise(verdict)
+    return F.when((verdict == "CLEARED") & doubt_in(reasoning).isNotNull(), "ESCALATE").otherwise(verdict)
+
+
+def doubted_reason(verdict: Column, reasoning: Column) -> Column:
+    """The reasoning, headed by the wording for which ``doubt_guard`` escalates it."""
+    hit = doubt_in(reasoning)
+    return F.when((verdict == "CLEARED") & hit.isNotNull(), F.concat(F.lit("[cleared in doubt: "), hit, F.lit("] "), reasoning)).otherwise(reasoning)
 
 
 def no_data_guard(verdict: Column, sources: Column, dobs: Column, nats: Column, values: Column) -> Column:

@@ -53,6 +53,58 @@ def source_status(meta: DataFrame) -> DataFrame:
     return last.select("source", "m.last_fetched", "m.status", F.coalesce("m.entity_count", F.lit(0)).cast("long").alias("entity_count"))
 
 
+def history_total(screenings: DataFrame) -> DataFrame:
+    """How many distinct screenings ``history_page`` pages through."""
+    return screenings.select("id", "created_at", "result", "screened_by").distinct().agg(F.count("*").alias("total"))
+
+
+def healthy_versions(meta: DataFrame) -> DataFrame:
+    """One row: ``source=hash`` of every source whose latest attempt succeeded, in order; there are as many as feeds."""
+    last = meta.groupBy("source").agg(F.max(F.struct("last_fetched", "status", "entity_count", "file_hash")).alias("m")).filter("m.status = 'ok'")
+    return last.agg(F.array_join(F.array_sort(F.collect_list(F.concat("source", F.lit("="), F.coalesce("m.file_hash", F.lit(""))))), ";").alias("versions"))
+
+
+def screening_label(created_at: Column, key: Column) -> Column:
+    """``SCR-YYYYMMDD-`` and six hexadecimal digits of the key's hash."""
+    return F.concat(F.lit("SCR-"), F.date_format(created_at, "yyyyMMdd"), F.lit("-"), F.upper(F.substring(F.sha2(key, 256), 1, 6)))
+
+
+STATS = ("raw_candidates", "unique_persons", "auto_cleared", "auto_flagged", "sent_to_llm", "llm_cleared", "llm_flagged", "llm_escalated", "processing_ms")
+
+
+def screening_json(screenings: DataFrame) -> DataFrame:
+    """id, report: every screening as a JSON object with its counters nested, fields in a fixed order."""
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    stats = F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in STATS]).alias("stats")
+    return screenings.select("id", F.to_json(F.struct(blank("id"), blank("result"), blank("screened_by"), stats, F.coalesce("matches", F.lit("[]")).alias("matches"))).alias("report"))
+
+
+def numbered_routes(flagged: DataFrame, cleared: DataFrame, reviewed: DataFrame, second: DataFrame | None = None, citations: DataFrame | None = None) -> DataFrame:
+    """screening_id, match_number, person, decision, reason, cleared_by, citations: the three routes of a screening as one report.
+
+    Each route has screening_id, person, ord, decision, reason, cleared_by; flagged matches come first, then cleared, then
+    reviewed ones, each in their order.  ``second`` (screening_id, person, decision, reason, cleared_by) overrides what it decides, numbers
+    kept; of ``citations`` (screening_id, person, ord, url) the first three that aren't blank are joined.
+    """
+    from pyspark.sql import Window
+
+    parts = [df.withColumn("route", F.lit(i)) for i, df in enumerate((flagged, cleared, reviewed))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = every.withColumn("match_number", F.row_number().over(Window.partitionBy("screening_id").orderBy("route", "ord", "person")))
+    key = ["screening_id", "person"]
+    if second is not None:
+        s = second.select(*key, *[F.col(c).alias("_" + c) for c in ("decision", "reason", "cleared_by")])
+        out = out.join(s, key, "left")
+        for c in ("decision", "reason", "cleared_by"):
+            out = out.withColumn(c, F.coalesce("_" + c, c)).drop("_" + c)
+    if citations is not None:
+        c = citations.filter(F.trim(F.coalesce("url", F.lit(""))) != "").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("u"))
+        out = out.join(c.select(*key, F.array_join(F.slice(F.col("u.url"), 1, 3), "; ").alias("citations")), key, "left")
+    else:
+        out = out.withColumn("citations", F.lit(None).cast("string"))
+    return out.select("screening_id", "match_number", "person", "decision", "reason", "cleared_by", F.coalesce("citations", F.lit("")).alias("citations"))
+
+
 def to_report_json(df: DataFrame) -> DataFrame:
     """id, report: every row as a JSON object, fields in order."""
     return df.select("id", F.to_json(F.struct(*df.columns)).alias("report"))

@@ -35,7 +35,7 @@ def point_lookup(s: SparkSession, d: str) -> DataFrame:
 
 def upsert_last_wins(s: SparkSession, d: str) -> DataFrame:
     snap = table(s, d, "entity_snapshots").select("source", "id", "refresh_no", "name", "dob", "listed_on")
-    return store.last_wins(snap, ["source", "id"], ["refresh_no"]).select("source", "id", "refresh_no")
+    return store.last_wins(snap, ["source", "id"], ["refresh_no"])
 
 
 def content_signature(s: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def normalize_aliases(s: SparkSession, d: str) -> DataFrame:
 
 
 def alias_tokens(s: SparkSession, d: str) -> DataFrame:
-    return _aliases(s, d).select(F.explode(text.index_tokens(F.col("alias"))).alias("token"), "id").groupBy("token").agg(F.count_distinct("id").alias("entities"))
+    return _aliases(s, d).select(F.explode(text.index_tokens(F.col("alias"))).alias("token"), "id").distinct()
 
 
 def _alias_index(s: SparkSession, d: str) -> DataFrame:
@@ -73,10 +73,10 @@ def _alias_index(s: SparkSession, d: str) -> DataFrame:
 
 
 def prefix_candidates(s: SparkSession, d: str) -> DataFrame:
-    """For every word of a listed alias that queries could use: how many index tokens it is a prefix of."""
+    """For every word of a listed alias that queries could use: the index tokens it is a prefix of."""
     idx = _alias_index(s, d)
     q = idx.filter(F.length("token") >= 3).select(F.col("token").alias("q")).distinct()
-    return retrieval.prefix_matches(q, idx).groupBy("q").agg(F.count("*").alias("tokens"))
+    return retrieval.prefix_matches(q, idx)
 
 
 def screen_topk(s: SparkSession, d: str) -> DataFrame:
@@ -178,7 +178,7 @@ def batch_numbers(s: SparkSession, d: str) -> DataFrame:
 def override_join(s: SparkSession, d: str) -> DataFrame:
     m = report.match_rows(table(s, d, "screenings")).select(F.col("id").alias("screening_id"), "match_number", F.col("decision").alias("verdict"), F.col("cleared_by").alias("reasoning"))
     second = m.filter("verdict = 'ESCALATE'").select("screening_id", "match_number", F.lit("REVIEWED").alias("verdict"), F.lit("second pass").alias("reasoning"))
-    return decide.override(m, second, ["screening_id", "match_number"]).groupBy("verdict", "reasoning").agg(F.count("*").alias("n"))
+    return decide.override(m, second, ["screening_id", "match_number"])
 
 
 def funnel_counts(s: SparkSession, d: str) -> DataFrame:
@@ -204,7 +204,8 @@ def json_fields(s: SparkSession, d: str) -> DataFrame:
 
 
 def json_guarded_parse(s: SparkSession, d: str) -> DataFrame:
-    return _entities(s, d, "identifiers").select("id", F.size(resolve.id_list(F.col("identifiers"))).alias("documents"))
+    ids = resolve.id_list(F.col("identifiers"))
+    return _entities(s, d, "identifiers").select("id", F.size(ids).alias("documents"), F.array_join(F.transform(ids, lambda i: F.concat_ws(":", i["type"], i["value"], i["country"])), "; ").alias("listed"))
 
 
 def report_rows(s: SparkSession, d: str) -> DataFrame:
@@ -226,7 +227,64 @@ def p6_found(s: SparkSession, d: str) -> DataFrame:
     return diff_snapshots(table(s, d, "entity_snapshots"), table(s, d, "source_metadata"))
 
 
+def token_set_similarity(s: SparkSession, d: str) -> DataFrame:
+    return _pairs(s, d).select("a_id", "b_id", F.round(similarity.bulk_token_set(_lower("a_name"), _lower("b_name")), 4).alias("ratio"))
+
+
+def id_match(s: SparkSession, d: str) -> DataFrame:
+    keys = lambda c: resolve.id_keys(resolve.id_list(F.col(c)))
+    return _pairs(s, d).select("a_id", "b_id", F.array_join(F.array_sort(F.array_intersect(keys("a_identifiers"), keys("b_identifiers"))), "; ").alias("shared")).filter("shared <> ''")
+
+
+def gender_conflict(s: SparkSession, d: str) -> DataFrame:
+    return _pairs(s, d).filter(rules.gender_conflict(F.col("a_gender"), F.col("b_gender"))).select("a_id", "b_id")
+
+
+def dob_gap(s: SparkSession, d: str) -> DataFrame:
+    return _pairs(s, d).select("a_id", "b_id", dates.year_gap(_years("a_dob"), _years("b_dob")).alias("gap")).filter("gap is not null")
+
+
+def temporal(s: SparkSession, d: str) -> DataFrame:
+    return _pairs(s, d).filter(dates.impossible_age(_years("a_dob"), F.col("b_listed_on"))).select("a_id", "b_id")
+
+
+def doubt_wording(s: SparkSession, d: str) -> DataFrame:
+    """Texts that voice doubt, with the first of the fixed wordings they hold."""
+    return table(s, d, "documents").select("doc_id", decide.doubt_in(F.col("text")).alias("wording")).filter("wording is not null")
+
+
+def report_json(s: SparkSession, d: str) -> DataFrame:
+    return report.screening_json(table(s, d, "screenings").distinct())
+
+
+def screening_labels(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "screenings").filter("id is not null and created_at is not null").select("id", "created_at").distinct()
+    return t.select("id", report.screening_label(F.col("created_at"), F.col("id")).alias("label"))
+
+
+def ages(s: SparkSession, d: str) -> DataFrame:
+    """Age at the screening, by the year typed first."""
+    t = table(s, d, "screenings").select("id", "created_at", F.get_json_object("user_input", "$.dob").alias("dob")).distinct()
+    return t.select("id", dates.age(F.col("dob"), F.year("created_at")).alias("age")).filter("age is not null").distinct()
+
+
+def history_total(s: SparkSession, d: str) -> DataFrame:
+    return report.history_total(table(s, d, "screenings"))
+
+
+def healthy_versions(s: SparkSession, d: str) -> DataFrame:
+    return report.healthy_versions(table(s, d, "source_metadata"))
+
+
+def phrase_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Entities one of whose aliases column holds the words of a listed name in a row, for names of two words or more."""
+    e = _entities(s, d, "aliases")
+    q = _entities(s, d, "name_ascii").select(F.col("id").alias("subject"), text.token_list(F.col("name_ascii")).alias("phrase"))
+    return retrieval.phrase_matches(q, e, retrieval.token_index(e, ("aliases",)), ("aliases",))
+
+
 _ALL = (
+    token_set_similarity, id_match, gender_conflict, dob_gap, temporal, doubt_wording, report_json, screening_labels, ages, history_total, healthy_versions, phrase_candidates,
     scan_filter_project, point_lookup, upsert_last_wins, content_signature, lookup_left_default, semi_sanctions, collect_docs_per_identity, normalize_aliases, alias_tokens,
     prefix_candidates, screen_topk, bm25_candidates, phonetic_candidates, soundex_names, metaphone_names, lcs_similarity, token_sort_similarity, token_similarity, dedup_pairs,
     dedup_components, dedup_persons, birth_years, rule_cascade, messy_dates, guard_no_data, verdict_rollup, batch_numbers, override_join, funnel_counts, source_status, status_totals,
@@ -264,6 +322,14 @@ _PAIRS = (
 )
 
 
+_WORDS = "list_distinct(list_filter(string_split_regex({c}, '\\s+'), lambda t: t <> ''))"
+_TEXT = "array_to_string(list_sort({l}), ' ')"
+_SETS = (
+    "ws AS (SELECT a_id, b_id, " + _WORDS.format(c="a_name") + " AS sa, " + _WORDS.format(c="b_name") + " AS sb FROM jn), "
+    "sets AS (SELECT a_id, b_id, sa, sb, " + _TEXT.format(l="list_intersect(sa, sb)") + " AS i, " + _TEXT.format(l="list_filter(sa, lambda w: NOT list_contains(sb, w))") + " AS x, " + _TEXT.format(l="list_filter(sb, lambda w: NOT list_contains(sa, w))") + " AS y FROM ws)"
+)
+
+
 def _keys_of(c: str) -> str:
     return _KEYS.format(i=_IDS.replace("identifiers", c))
 
@@ -309,16 +375,30 @@ def oracle_sql() -> dict[str, str]:
     ya, yb = _years_of("a_dob"), _years_of("b_dob")
     sorted_ratio = _RATIO.format(a="sa", b="sb")
     return {
+        "token_set_similarity": f"WITH {_PAIRS}, {_SETS}, parts AS (SELECT a_id, b_id, i, x, y, sa, sb, trim(concat_ws(' ', nullif(i, ''), nullif(x, ''))) AS ia, trim(concat_ws(' ', nullif(i, ''), nullif(y, ''))) AS ib FROM sets) "
+        f"SELECT a_id, b_id, round(CASE WHEN len(sa) = 0 OR len(sb) = 0 THEN 0.0 WHEN i <> '' AND (x = '' OR y = '') THEN 100.0 WHEN i = '' THEN {_RATIO.format(a='ia', b='ib')} ELSE greatest({_RATIO.format(a='ia', b='ib')}, 200.0 * length(i) / (length(i) + length(ia)), 200.0 * length(i) / (length(i) + length(ib))) END, 4) AS ratio FROM parts",
+        "id_match": f"WITH {_PAIRS}, k AS (SELECT a_id, b_id, array_to_string(list_sort(list_intersect({_keys_of('a_ids')}, {_keys_of('b_ids')})), '; ') AS shared FROM jn) SELECT * FROM k WHERE shared <> ''",
+        "gender_conflict": f"WITH {_PAIRS} SELECT a_id, b_id FROM jn WHERE a_g <> '' AND b_g <> '' AND a_g <> b_g",
+        "dob_gap": f"WITH {_PAIRS} SELECT a_id, b_id, list_min(flatten(list_transform({ya}, lambda x: list_transform({yb}, lambda y: abs(x - y)))))::INTEGER AS gap FROM jn WHERE len({ya}) > 0 AND len({yb}) > 0",
+        "temporal": f"WITH {_PAIRS} SELECT a_id, b_id FROM jn WHERE try_cast(substr(trim(b_listed), 1, 4) AS INTEGER) - list_min({ya}) < 15",
+        "doubt_wording": "SELECT doc_id, wording FROM (SELECT doc_id, list_filter([" + ", ".join(f"'{w}'" for w in decide.DOUBT) + "], lambda p: contains(lower(text), p))[1] AS wording FROM documents WHERE text IS NOT NULL) WHERE wording IS NOT NULL",
+        "report_json": "SELECT id, to_json({'id': coalesce(id, ''), 'result': coalesce(result, ''), 'screened_by': coalesce(screened_by, ''), 'stats': {" + ", ".join(f"'{c}': coalesce({c}, 0)" for c in report.STATS) + "}, 'matches': coalesce(matches, '[]')})::VARCHAR AS report FROM (SELECT DISTINCT * FROM screenings)",
+        "screening_labels": "SELECT DISTINCT id, 'SCR-' || strftime(created_at, '%Y%m%d') || '-' || upper(substr(sha256(id), 1, 6)) AS label FROM screenings WHERE id IS NOT NULL AND created_at IS NOT NULL",
+        "ages": "SELECT DISTINCT id, age FROM (SELECT id, (year(created_at) - try_cast(substr(trim(user_input ->> '$.dob'), 1, 4) AS INTEGER))::INTEGER AS age FROM screenings WHERE regexp_matches(trim(user_input ->> '$.dob'), '^\\d{4}')) WHERE age IS NOT NULL",
+        "history_total": "SELECT count(*) AS total FROM (SELECT DISTINCT id, created_at, result, screened_by FROM screenings)",
+        "healthy_versions": "WITH att AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY last_fetched DESC, status DESC, entity_count DESC, file_hash DESC NULLS LAST) AS rn FROM source_metadata) SELECT string_agg(source || '=' || coalesce(file_hash, ''), ';' ORDER BY source) AS versions FROM att WHERE rn = 1 AND status = 'ok'",
+        "phrase_candidates": f"WITH {_E}, e AS (SELECT DISTINCT id, ' ' || array_to_string(list_filter(string_split_regex({_FOLD.format(c='coalesce(aliases, chr(32))')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM ent), "
+        f"q AS (SELECT DISTINCT id AS subject, list_filter(string_split_regex({_FOLD.format(c='coalesce(name_ascii, chr(32))')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS p FROM ent) SELECT DISTINCT subject, e.id FROM q JOIN e ON contains(t, ' ' || array_to_string(p, ' ') || ' ') WHERE len(p) >= 2",
         "scan_filter_project": "SELECT id, source, name, designation FROM sanctions_entities WHERE source IN ('wikidata_peps', 'us_congress', 'uk_parliament', 'eu_parliament')",
         "point_lookup": "SELECT DISTINCT id, result, processing_ms FROM screenings WHERE id = (SELECT min(id) FROM screenings)",
-        "upsert_last_wins": "SELECT source, id, max(refresh_no) AS refresh_no FROM entity_snapshots GROUP BY source, id",
+        "upsert_last_wins": "SELECT source, id, refresh_no, name, dob, listed_on FROM (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY refresh_no DESC NULLS LAST, name DESC NULLS LAST, dob DESC NULLS LAST, listed_on DESC NULLS LAST) AS rn FROM entity_snapshots) WHERE rn = 1",
         "content_signature": "SELECT source, sha256(string_agg(id, '|' ORDER BY id)) AS signature FROM (SELECT DISTINCT source, id FROM sanctions_entities WHERE id IS NOT NULL) GROUP BY source",
         "lookup_left_default": f"WITH {_E}, ref AS (SELECT source, max(kind) AS kind FROM list_sources GROUP BY source) SELECT id, source, coalesce(kind, '') AS kind FROM ent LEFT JOIN ref USING (source)",
         "semi_sanctions": f"WITH {_E} SELECT id, source FROM ent WHERE source IN (SELECT source FROM list_sources WHERE kind = 'sanctions')",
         "collect_docs_per_identity": f"WITH {_E}, k AS (SELECT id, unnest({_keys_of('identifiers')}) AS k FROM ent) SELECT id, string_agg(DISTINCT k, '; ' ORDER BY k) AS documents FROM k GROUP BY id",
         "normalize_aliases": f"WITH {_ALIASES} SELECT id, alias, array_to_string(list_filter(string_split_regex(trim(replace(regexp_replace({_FOLD.format(c='alias')}, '[+\\-*\"():\\^.,]', ' ', 'g'), '''', '')), '\\s+'), lambda w: w <> '' AND w NOT IN ({_NOISE})), ' ') AS normal FROM al",
-        "alias_tokens": f"WITH {_ALIASES}, tk AS (SELECT id, unnest({_TOKENS.format(c='alias')}) AS token FROM al) SELECT token, count(DISTINCT id) AS entities FROM tk GROUP BY token",
-        "prefix_candidates": f"WITH {_ALIASES}, tk AS (SELECT DISTINCT unnest({_TOKENS.format(c='alias')}) AS token FROM al) SELECT q.token AS q, count(*) AS tokens FROM tk q JOIN tk t ON starts_with(t.token, q.token) WHERE length(q.token) >= 3 GROUP BY q.token",
+        "alias_tokens": f"WITH {_ALIASES}, tk AS (SELECT id, unnest({_TOKENS.format(c='alias')}) AS token FROM al) SELECT DISTINCT token, id FROM tk",
+        "prefix_candidates": f"WITH {_ALIASES}, tk AS (SELECT DISTINCT unnest({_TOKENS.format(c='alias')}) AS token FROM al) SELECT q.token AS q, t.token AS token FROM tk q JOIN tk t ON starts_with(t.token, q.token) WHERE length(q.token) >= 3",
         "lcs_similarity": f"WITH {_PAIRS} SELECT a_id, b_id, round({_RATIO.format(a='a_name', b='b_name')}, 4) AS ratio FROM jn",
         "token_sort_similarity": f"WITH {_PAIRS}, sd AS (SELECT a_id, b_id, {_SORTED.format(c='a_name')} AS sa, {_SORTED.format(c='b_name')} AS sb FROM jn) SELECT a_id, b_id, round({sorted_ratio}, 4) AS ratio FROM sd",
         "dedup_pairs": f"WITH {_PAIRS}, sd AS (SELECT *, {_SORTED.format(c='a_name')} AS sa, {_SORTED.format(c='b_name')} AS sb FROM jn), sm AS (SELECT *, round(({sorted_ratio}) / 100, 6) AS sim FROM sd) "
@@ -338,13 +418,13 @@ def oracle_sql() -> dict[str, str]:
         "guard_no_data": f"WITH {_E} SELECT source, CASE WHEN source IN ({hard}) AND len({_ITEMS.format(c='dob')}) = 0 AND len({_ITEMS.format(c='nationality')}) = 0 AND len(list_filter({_IDS}, lambda i: coalesce(i.value, '') <> '')) = 0 THEN 'ESCALATE' ELSE 'CLEARED' END AS verdict, count(*) AS n FROM ent GROUP BY 1, 2",
         "verdict_rollup": f"WITH {matches} SELECT id, CASE WHEN count_if(m.decision = 'LIKELY_MATCH') > 0 THEN 'FLAG' WHEN count_if(m.decision = 'ESCALATE') > 0 THEN 'ESCALATE' ELSE 'CLEAR' END AS verdict FROM mt GROUP BY id",
         "batch_numbers": "SELECT source, id, rn::INTEGER AS match_number, ((rn - 1) // 25)::INTEGER AS batch_no FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM (SELECT DISTINCT source, id FROM sanctions_entities WHERE id IS NOT NULL))",
-        "override_join": f"WITH {matches}, v AS (SELECT CASE WHEN m.decision = 'ESCALATE' THEN 'REVIEWED' ELSE m.decision END AS verdict, CASE WHEN m.decision = 'ESCALATE' THEN 'second pass' ELSE m.cleared_by END AS reasoning FROM mt) SELECT verdict, reasoning, count(*) AS n FROM v GROUP BY 1, 2",
+        "override_join": f"WITH {matches}, v AS (SELECT id AS screening_id, m.match_number AS match_number, CASE WHEN m.decision = 'ESCALATE' THEN 'REVIEWED' ELSE m.decision END AS verdict, CASE WHEN m.decision = 'ESCALATE' THEN 'second pass' ELSE m.cleared_by END AS reasoning FROM mt) SELECT * FROM v",
         "funnel_counts": f"SELECT result, count(*) AS screenings, {funnel} FROM (SELECT DISTINCT * FROM screenings) GROUP BY result",
         "source_status": f"WITH {latest} SELECT * FROM st",
         "status_totals": f"WITH {latest} SELECT count(*) AS sources, count_if(status = 'ok')::BIGINT AS ok, count_if(status <> 'ok')::BIGINT AS failed, sum(entity_count)::BIGINT AS entities FROM st",
         "history_page": "SELECT id, result, screened_by FROM (SELECT DISTINCT id, created_at, result, screened_by FROM screenings) ORDER BY created_at DESC, id LIMIT 50 OFFSET 50",
         "json_fields": f"SELECT DISTINCT id, {', '.join(j(f) for f in ('name', 'dob', 'nationality', 'passport'))} FROM screenings",
-        "json_guarded_parse": f"WITH {_E} SELECT id, len({_IDS})::INTEGER AS documents FROM ent",
+        "json_guarded_parse": f"WITH {_E} SELECT id, len({_IDS})::INTEGER AS documents, array_to_string(list_transform({_IDS}, lambda i: concat_ws(':', i.type, i.value, i.country)), '; ') AS listed FROM ent",
         "report_rows": f"WITH {_E} SELECT id, coalesce(name, '') AS matched_person, array_to_string(list_slice({_ITEMS.format(c='aliases')}, 1, 4), ', ') AS aliases, array_to_string({_ITEMS.format(c='dob')}, ', ') AS dob, array_to_string({_ITEMS.format(c='nationality')}, ', ') AS nationality, "
         f"coalesce(gender, '') AS gender, {label} AS source_list, array_to_string(list_transform(list_slice({_IDS}, 1, 3), lambda i: i.type || ': ' || i.value), '; ') AS identifiers FROM ent",
         "union_priority_dedup": "WITH l AS (SELECT DISTINCT source, id FROM sanctions_entities WHERE id IS NOT NULL), o AS (SELECT DISTINCT source, id FROM entity_snapshots WHERE id IS NOT NULL) SELECT source, id, 'live' AS origin FROM l UNION ALL SELECT o.source, o.id, 'snapshot' FROM o ANTI JOIN l USING (source, id)",
