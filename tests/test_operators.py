@@ -113,7 +113,7 @@ def persons_by(spark, rows, pairs=None):
     for c in resolve.RICHNESS:
         e = e if c in e.columns else e.withColumn(c, F.lit(""))
     got = resolve.persons(e, resolve.judged_pairs(resolve.blocked_pairs(e) if pairs is None else spark.createDataFrame(pairs, "id_a string, id_b string"), e))
-    return sorted(map(tuple, got.collect()))
+    return sorted(((r["person"], r["representative"], r["members"], ",".join(sorted({x["source"] or "" for x in r["all_sources"]})), tuple(r["all_names"]), tuple(map(tuple, r["all_identifiers"])), r["uncertain_merge"]) for r in got.collect()))
 
 
 def test_persons_as_by_all_pairs(spark):
@@ -154,3 +154,54 @@ def test_screen_topk_keeps_all_of_a_hot_name(spark, tmp_path):
     spark.createDataFrame([("s1", '{"name": "omar farouk"}')], "id string, user_input string").write.parquet(str(tmp_path / "screenings.parquet"))
     for q in ("screen_topk", "bm25_candidates", "phonetic_candidates"):
         assert queries.queries()[q](spark, str(tmp_path)).count() == 41
+
+
+def test_persons_unite_names_and_documents(spark):
+    rows = [("a", "x", "Omar Farouk", "OMAR FAROUK|Umar", "", "", '[{"type": "P", "value": "1", "country": "EG"}]'), ("b", "y", "omar farouk", "Omar F.", "1970", "", '[{"type": "p", "value": "1", "country": ""}, {"type": "", "value": "9"}]')]
+    got = persons_by(spark, rows)
+    assert [(r[0], r[1], r[2], r[3], r[4]) for r in got] == [("a", "b", 2, "x,y", ("Omar Farouk", "Umar", "Omar F."))]
+    assert got[0][5] == (("P", "1", "EG"),)
+
+
+def test_routes_are_numbered_and_overridden(spark):
+    cols = "screening_id string, person string, ord int, decision string, reason string, cleared_by string"
+    flagged, cleared, reviewed = (spark.createDataFrame(x, cols) for x in ([("s", "f", 5, "LIKELY_MATCH", "id", "")], [("s", "c", 1, "CLEARED", "dob", "rule")], [("s", "r", 1, "ESCALATE", "?", ""), ("s", "q", 2, "ESCALATE", "?", ""), ("t", "z", 1, "CLEARED", "", "ai")]))
+    second = spark.createDataFrame([("s", "q", "CLEARED", "found", "second")], "screening_id string, person string, decision string, reason string, cleared_by string")
+    urls = spark.createDataFrame([("s", "q", i, u) for i, u in enumerate(["a", " ", None, "b", "c", "d"])], "screening_id string, person string, ord int, url string")
+    got = report.numbered_routes(flagged, cleared, reviewed, second, urls).collect()
+    assert sorted((r["screening_id"], r["match_number"], r["person"], r["decision"], r["citations"]) for r in got) == [
+        ("s", 1, "f", "LIKELY_MATCH", ""), ("s", 2, "c", "CLEARED", ""), ("s", 3, "r", "ESCALATE", ""), ("s", 4, "q", "CLEARED", "a; b; c"), ("t", 1, "z", "CLEARED", "")]
+
+
+def test_screening_is_the_same_in_blocks(spark):
+    from watchloom.plans import queries, screening
+    from watchloom.session import table
+
+    d = "/root/testdata/sf0.001"
+    s, e = screening.subjects_of(table(spark, d, "screenings")).limit(60), queries._entities(spark, d)
+    whole = sorted(screening.screen(s, e, candidates=7, threshold=40.0).collect())
+    assert whole and whole == sorted(screening.screen(s, e, candidates=7, threshold=40.0, block=30, part=20).collect())
+
+
+def test_block_scores_equal_plain_ones():
+    import numpy as np
+
+    from watchloom.functions import similarity as S
+
+    rnd, words = random.Random(1), ["muhammad", "ali", "khan", "x", "kimdiriruddin", "maria del", "fernandez gutierrez", "ali ali", "", "zed" * 30]
+
+    def name():
+        t = list(" ".join(rnd.choice(words) for _ in range(rnd.randrange(4))))
+        for _ in range(rnd.randrange(3)):
+            if t:
+                t[rnd.randrange(len(t))] = rnd.choice("aeiou ")
+        return " ".join("".join(t).split())
+
+    names = sorted({name() for _ in range(400)})
+    block, rows = S.NameBlock(names), np.arange(len(names))
+    for q in (name() for _ in range(30)):
+        want = [100.0 if q and q == n else S.blend(q, n) if q and n else 0.0 for n in names]
+        for least in (0.0, 60.0):
+            assert np.allclose(block.scores(q, rows, least), [w if w >= least else 0.0 for w in want])
+    pairs = [(name(), name()) for _ in range(500)]
+    assert [S._lcs(a, b) for a, b in pairs] == S.lcs_many([a for a, _ in pairs], [b for _, b in pairs]).tolist()

@@ -106,3 +106,45 @@ def test_union_of_feeds(spark, tmp_path):
 def test_subjects_csv(spark, tmp_path):
     p = put(tmp_path, "s.csv", "name,dob\n Ann ,1970\n,1\n")
     assert [(r["name"], r["dob"], r["cnic"]) for r in api_feeds.read_subjects(spark, p).collect()] == [("Ann", "1970", "")]
+
+
+def test_paged_json_and_sql_functions(spark, tmp_path):
+    import json
+
+    from watchloom.functions import text
+    from watchloom.functions.registry import register
+    from watchloom.session import ship
+
+    ship(spark)
+    names = register(spark)
+    for i in range(3):
+        (tmp_path / f"p{i * 2}.json").write_text(json.dumps({"total": 5, "items": [{"n": j} for j in range(i * 2, min(5, i * 2 + 2))] + [None]}))
+    pages = spark.read.format("paged_json").option("url", f"file://{tmp_path}/p{{offset}}.json").option("size", "2").load()
+    assert sorted(json.loads(r["item"])["n"] for r in pages.collect()) == list(range(5))
+    assert {"tokens", "normalize_name", "birth_years", "lcs_ratio"} <= set(names)
+    got = spark.sql("SELECT normalize_name('Dr. José  O\\'Neil-Al (x)') AS n, birth_years('1970-01-02|circa 1980|1990') AS y, lcs_ratio('abc', 'abd') AS r").first()
+    df = spark.createDataFrame([("Dr. José  O'Neil-Al (x)",)], "t string")
+    assert got["n"] == df.select(text.normalize_name("t")).first()[0] and list(got["y"]) == [1970, 1990] and abs(got["r"] - 66.6666) < 0.001
+    assert [tuple(r) for r in spark.sql("SELECT * FROM tokens('Ébène, x-Y')").collect()] == [("ebene", 0), ("x", 1), ("y", 2)]
+
+
+def test_refresh_with_a_failing_feed(spark, tmp_path):
+    from datetime import datetime
+
+    from watchloom.operators import store
+    from watchloom.session import ship
+    from watchloom.sources.refresh import refresh
+
+    ship(spark)
+    mep = lambda i, n: f"<mep><id>{i}</id><fullName>{n}</fullName><country>France</country><politicalGroup>g</politicalGroup></mep>"
+    (tmp_path / "m.xml").write_text("<meps>" + mep(1, "Ana B") + mep(2, "Cy D") + "</meps>")
+    live = store.SnapshotStore(spark, "file://" + str(tmp_path / "w"))
+    version, meta = refresh(spark, {"eu_parliament": str(tmp_path / "m.xml"), "un_consolidated": str(tmp_path / "gone.xml")}, live, at=datetime(2026, 1, 1))
+    got = {r["source"]: (r["status"], r["entity_count"], r["quality"], bool(r["file_hash"])) for r in meta.collect()}
+    assert version and got == {"eu_parliament": ("ok", 2, "low", True), "un_consolidated": ("error", 0, None, False)} and live.current().count() == 2
+    again, meta = refresh(spark, {"eu_parliament": str(tmp_path / "gone.xml")}, live, meta, at=datetime(2026, 1, 2))
+    assert again is None and live.current().count() == 2 and {r["source"]: r["status"] for r in meta.collect()} == {"eu_parliament": "error", "un_consolidated": "error"}
+    h = store.file_hashes(spark, str(tmp_path / "m.xml")).first()
+    import hashlib
+
+    assert h["file_hash"] == hashlib.sha256((tmp_path / "m.xml").read_bytes()).hexdigest()

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.similarity import bulk_ratio, sorted_words, token_sort_ratio
+from ..functions.similarity import bulk_ratio, sorted_words
 from ..session import materialize
 from .components import connected_components
 
@@ -55,7 +55,7 @@ def judged_pairs(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     cols = p.columns
     one = pairs.filter("id_a is not null and id_b is not null and id_a <> id_b").select(F.least("id_a", "id_b").alias("a_id"), F.greatest("id_a", "id_b").alias("b_id")).distinct()
     j = one.join(p.select(F.col("id").alias("a_id"), F.struct(*cols).alias("a")), "a_id").join(p.select(F.col("id").alias("b_id"), F.struct(*cols).alias("b")), "b_id")
-    j = j.withColumn("similarity", F.round(token_sort_ratio(F.col("a.name"), F.col("b.name")) / 100, 6)).withColumn("rule", merge_rule())
+    j = j.withColumn("similarity", F.round(bulk_ratio(sorted_words(F.col("a.name")), sorted_words(F.col("b.name"))) / 100, 6)).withColumn("rule", merge_rule())
     return j.select("a_id", "b_id", "similarity", "rule", F.col("rule").isin(3, 4).alias("uncertain"))
 
 
@@ -171,21 +171,32 @@ def richness() -> Column:
 
 
 def persons(entities: DataFrame, judged: DataFrame) -> DataFrame:
-    """One row a person: representative (richest member, then smaller id), sources, names and identifiers united, uncertainty.
+    """One row a person: representative (richest member, then smaller id), its members' sources, names and identifiers united, uncertainty.
 
-    Entities in no merged pair stay persons of their own.
+    Sources are distinct (source, id); of names equal but for case, and of identifiers of one type and number, the first
+    stays as it is written, in the order of ids and of the fields.  Entities in no merged pair stay persons of their own.
     """
     merged = judged.filter("rule > 0")
     comp = connected_components(merged.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
     shaky = merged.join(comp, F.col("a_id") == F.col("id")).groupBy("component").agg(F.max(F.col("uncertain").cast("int")).alias("shaky"))
     e = entities.filter("id is not null").dropDuplicates(["id"]).withColumn("rich", richness())
-    m = e.join(comp, "id", "left").withColumn("person", F.coalesce("component", "id"))
-    rep = m.groupBy("person").agg(F.max("rich").alias("rich"), F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
-    best = m.join(rep.select("person", "rich"), ["person", "rich"]).groupBy("person").agg(F.min("id").alias("representative"))
-    names = m.select("person", F.explode(F.concat(F.array("name"), items(F.col("aliases")))).alias("n")).filter("n is not null and n <> ''")
-    names = names.groupBy("person", F.lower("n").alias("ln")).agg(F.min("n").alias("n")).groupBy("person").agg(F.array_join(F.array_sort(F.collect_list("n")), "; ").alias("all_names"))
-    ids = m.select("person", F.explode(id_keys(id_list(F.col("identifiers")))).alias("k")).groupBy("person").agg(F.array_join(F.array_sort(F.collect_set("k")), "; ").alias("all_identifiers"))
+    m = materialize(e.join(comp, "id", "left").select("id", "source", "name", "aliases", "identifiers", "rich", F.coalesce("component", "id").alias("person")))
+    rep = m.groupBy("person").agg(F.min_by("id", F.struct(-F.col("rich"), "id")).alias("representative"), F.count("*").alias("members"), F.array_sort(F.collect_set(F.struct("source", "id"))).alias("all_sources"))
+
+    def united(values: Column, key: Column, out: str) -> DataFrame:
+        x = m.select("person", "id", F.posexplode(values).alias("pos", "v")).filter("v is not null").withColumn("k", key)
+        first = x.groupBy("person", "k").agg(F.min(F.struct("id", "pos", "v")).alias("f"))
+        return first.groupBy("person").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["v"]).alias(out))
+
+    names = united(F.filter(F.concat(F.array("name"), items(F.col("aliases"))), lambda n: F.trim(n) != ""), F.lower("v"), "all_names")
+    held = F.filter(id_list(F.col("identifiers")), lambda i: (F.trim(F.coalesce(i["type"], F.lit(""))) != "") & (F.trim(F.coalesce(i["value"], F.lit(""))) != ""))
+    ids = united(held, F.concat(F.lower(F.trim("v.type")), F.lit(":"), F.lower(F.trim("v.value"))), "all_identifiers")
     return (
-        rep.join(best, "person").join(names, "person", "left").join(ids, "person", "left").join(shaky.withColumnRenamed("component", "person"), "person", "left")
-        .select("person", "representative", "members", "sources", F.coalesce("all_names", F.lit("")).alias("all_names"), F.coalesce("all_identifiers", F.lit("")).alias("all_identifiers"), (F.coalesce("shaky", F.lit(0)) > 0).alias("uncertain_merge"))
+        rep.join(names, "person", "left").join(ids, "person", "left").join(shaky.withColumnRenamed("component", "person"), "person", "left")
+        .select("person", "representative", "members", "all_sources", F.coalesce("all_names", F.array().cast("array<string>")).alias("all_names"), F.coalesce("all_identifiers", F.array().cast(IDENTIFIERS)).alias("all_identifiers"), (F.coalesce("shaky", F.lit(0)) > 0).alias("uncertain_merge"))
     )
+
+
+def ranked_persons(found: DataFrame, scores: DataFrame) -> DataFrame:
+    """``persons`` with the score of their representative (``id``, ``score``), best first; persons without one come last."""
+    return found.join(scores.select(F.col("id").alias("representative"), "score"), "representative", "left").orderBy(F.desc_nulls_last("score"), "person")

@@ -24,6 +24,12 @@ def content_signature(df: DataFrame, by: list[str], id_col: str = "id") -> DataF
     return df.filter(F.col(id_col).isNotNull()).groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(id_col)), "|"), 256).alias("signature"))
 
 
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes, file_hash (SHA-256 of the content) of every file below a folder; a file is read by one task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("file_hash"))
+
+
 def quality_flag(n: Column, least: Column) -> Column:
     return F.when(n < least, F.lit("low")).otherwise(F.lit("ok"))
 

@@ -88,6 +88,13 @@ def bm25_candidates(s: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25_topk(query_rows(subj), retrieval.token_index(_entities(s, d, *retrieval.COLUMNS))).select("subject", "id", "rank_score", "ord")
 
 
+def bm25_aliases(s: SparkSession, d: str) -> DataFrame:
+    """Retrieval over the columns that SQL folds like the index does."""
+    subj = subjects_of(table(s, d, "screenings"))
+    cols = ("aliases", "phonetic_primary", "phonetic_alt")
+    return retrieval.bm25_topk(query_rows(subj), retrieval.token_index(_entities(s, d, *cols), cols)).select("subject", "id", F.round("rank_score", 4).alias("rank_score"), "ord")
+
+
 def phonetic_candidates(s: SparkSession, d: str) -> DataFrame:
     subj = subjects_of(table(s, d, "screenings"))
     return retrieval.bm25_topk(phonetic_rows(subj), retrieval.token_index(_entities(s, d, "phonetic_primary", "phonetic_alt"), ("phonetic_primary", "phonetic_alt"))).select("subject", "id", "ord")
@@ -277,14 +284,14 @@ def healthy_versions(s: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_candidates(s: SparkSession, d: str) -> DataFrame:
-    """Entities one of whose aliases column holds the words of a listed name in a row, for names of two words or more."""
+    """Entities whose aliases hold the words of another's first alias in a row, for aliases of two words or more."""
     e = _entities(s, d, "aliases")
-    q = _entities(s, d, "name_ascii").select(F.col("id").alias("subject"), text.token_list(F.col("name_ascii")).alias("phrase"))
+    q = e.select(F.col("id").alias("subject"), text.token_list(F.get(resolve.items(F.col("aliases")), 0)).alias("phrase"))
     return retrieval.phrase_matches(q, e, retrieval.token_index(e, ("aliases",)), ("aliases",))
 
 
 _ALL = (
-    token_set_similarity, id_match, gender_conflict, dob_gap, temporal, doubt_wording, report_json, screening_labels, ages, history_total, healthy_versions, phrase_candidates,
+    bm25_aliases, token_set_similarity, id_match, gender_conflict, dob_gap, temporal, doubt_wording, report_json, screening_labels, ages, history_total, healthy_versions, phrase_candidates,
     scan_filter_project, point_lookup, upsert_last_wins, content_signature, lookup_left_default, semi_sanctions, collect_docs_per_identity, normalize_aliases, alias_tokens,
     prefix_candidates, screen_topk, bm25_candidates, phonetic_candidates, soundex_names, metaphone_names, lcs_similarity, token_sort_similarity, token_similarity, dedup_pairs,
     dedup_components, dedup_persons, birth_years, rule_cascade, messy_dates, guard_no_data, verdict_rollup, batch_numbers, override_join, funnel_counts, source_status, status_totals,
@@ -375,6 +382,14 @@ def oracle_sql() -> dict[str, str]:
     ya, yb = _years_of("a_dob"), _years_of("b_dob")
     sorted_ratio = _RATIO.format(a="sa", b="sb")
     return {
+        "bm25_aliases": f"WITH {_E}, raw AS (SELECT id, unnest(list_concat({', '.join(_TOKENS.format(c=f"coalesce({c}, '')") for c in ('aliases', 'phonetic_primary', 'phonetic_alt'))})) AS token FROM ent), "
+        "ix AS (SELECT id, token, count(*) AS tf FROM raw GROUP BY id, token), ln AS (SELECT id, sum(tf) AS len FROM ix GROUP BY id), st AS (SELECT count(*) AS n, avg(len) AS mean FROM ln), "
+        "nm AS (SELECT DISTINCT trim(user_input ->> '$.name') AS subject FROM screenings WHERE trim(user_input ->> '$.name') <> ''), "
+        f"tk AS (SELECT subject, {_TOKENS.format(c='subject')} AS t FROM nm), lg AS (SELECT subject, t, list_filter(t, lambda x: length(x) >= 3) AS l FROM tk), qs AS (SELECT subject, unnest(CASE WHEN len(l) > 0 THEN l ELSE t END) AS q FROM lg), "
+        "mt AS (SELECT q, token FROM (SELECT DISTINCT q FROM qs) JOIN (SELECT DISTINCT token FROM ix) ON starts_with(token, q)), po AS (SELECT q, id, sum(tf)::DOUBLE AS tf FROM mt JOIN ix USING (token) GROUP BY q, id), "
+        "df AS (SELECT q, count(*) AS df FROM po GROUP BY q), "
+        "sc AS (SELECT subject, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)))), 6) AS s FROM qs JOIN df USING (q) JOIN po USING (q) JOIN ln USING (id), st GROUP BY subject, id), "
+        "rk AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY s DESC, id) AS ord FROM sc) SELECT subject, id, round(s, 4) AS rank_score, ord::INTEGER AS ord FROM rk WHERE ord <= 300",
         "token_set_similarity": f"WITH {_PAIRS}, {_SETS}, parts AS (SELECT a_id, b_id, i, x, y, sa, sb, trim(concat_ws(' ', nullif(i, ''), nullif(x, ''))) AS ia, trim(concat_ws(' ', nullif(i, ''), nullif(y, ''))) AS ib FROM sets) "
         f"SELECT a_id, b_id, round(CASE WHEN len(sa) = 0 OR len(sb) = 0 THEN 0.0 WHEN i <> '' AND (x = '' OR y = '') THEN 100.0 WHEN i = '' THEN {_RATIO.format(a='ia', b='ib')} ELSE greatest({_RATIO.format(a='ia', b='ib')}, 200.0 * length(i) / (length(i) + length(ia)), 200.0 * length(i) / (length(i) + length(ib))) END, 4) AS ratio FROM parts",
         "id_match": f"WITH {_PAIRS}, k AS (SELECT a_id, b_id, array_to_string(list_sort(list_intersect({_keys_of('a_ids')}, {_keys_of('b_ids')})), '; ') AS shared FROM jn) SELECT * FROM k WHERE shared <> ''",
@@ -388,7 +403,7 @@ def oracle_sql() -> dict[str, str]:
         "history_total": "SELECT count(*) AS total FROM (SELECT DISTINCT id, created_at, result, screened_by FROM screenings)",
         "healthy_versions": "WITH att AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY last_fetched DESC, status DESC, entity_count DESC, file_hash DESC NULLS LAST) AS rn FROM source_metadata) SELECT string_agg(source || '=' || coalesce(file_hash, ''), ';' ORDER BY source) AS versions FROM att WHERE rn = 1 AND status = 'ok'",
         "phrase_candidates": f"WITH {_E}, e AS (SELECT DISTINCT id, ' ' || array_to_string(list_filter(string_split_regex({_FOLD.format(c='coalesce(aliases, chr(32))')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM ent), "
-        f"q AS (SELECT DISTINCT id AS subject, list_filter(string_split_regex({_FOLD.format(c='coalesce(name_ascii, chr(32))')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS p FROM ent) SELECT DISTINCT subject, e.id FROM q JOIN e ON contains(t, ' ' || array_to_string(p, ' ') || ' ') WHERE len(p) >= 2",
+        f"q AS (SELECT DISTINCT id AS subject, list_filter(string_split_regex({_FOLD.format(c="coalesce((" + _ITEMS.format(c='aliases') + ")[1], chr(32))")}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS p FROM ent) SELECT DISTINCT subject, e.id FROM q JOIN e ON contains(t, ' ' || array_to_string(p, ' ') || ' ') WHERE len(p) >= 2",
         "scan_filter_project": "SELECT id, source, name, designation FROM sanctions_entities WHERE source IN ('wikidata_peps', 'us_congress', 'uk_parliament', 'eu_parliament')",
         "point_lookup": "SELECT DISTINCT id, result, processing_ms FROM screenings WHERE id = (SELECT min(id) FROM screenings)",
         "upsert_last_wins": "SELECT source, id, refresh_no, name, dob, listed_on FROM (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY refresh_no DESC NULLS LAST, name DESC NULLS LAST, dob DESC NULLS LAST, listed_on DESC NULLS LAST) AS rn FROM entity_snapshots) WHERE rn = 1",
