@@ -237,3 +237,25 @@ def test_bm25_results_leave_blocks_without_a_shuffle(spark):
     assert sorted((r["subject"], r["id"], round(r["rank_score"], 5), r["ord"]) for r in got.collect()) == plain_bm25(queries, docs, 7)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Exchange" not in plan.split("MapInArrow")[0].replace("AdaptiveSparkPlan", "")
+
+
+def test_a_long_name_does_not_widen_the_block():
+    import numpy as np
+
+    from watchloom.functions import similarity as S
+
+    names = ["omar farouk", "farouk omar", "omar x", "omar " * 3 + "farouk " * 150 + "end", "\U00010400mar"]
+    block, q = S.NameBlock(names), "omar farouk"
+    assert sum(c.nbytes for c in block.codes) <= 2 * 64 * len(names)
+    assert np.allclose(block.scores(q, np.arange(5)), [100.0] + [S.blend(q, n) for n in names[1:]])
+
+
+def test_hundredths_round_as_sql(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from watchloom.plans.screening import hundredths
+
+    x = [60.005, 61.115, 72.675, 99.995, 60.0, 77.77499999999999, 83.125, 64.32500000000002]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(F.round("x", 2).alias("y")).collect()
+    assert [r["y"] for r in got] == hundredths(np.array(x)).tolist()
