@@ -259,3 +259,11 @@ def test_hundredths_round_as_sql(spark):
     x = [60.005, 61.115, 72.675, 99.995, 60.0, 77.77499999999999, 83.125, 64.32500000000002]
     got = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(F.round("x", 2).alias("y")).collect()
     assert [r["y"] for r in got] == hundredths(np.array(x)).tolist()
+
+
+def test_bm25_entities_are_not_repeated_for_parts(spark):
+    queries, docs, asked, index = many_names(spark, 4)
+    got = retrieval.bm25_topk(asked, index, 5, block=10, part=1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Union" not in plan and "FlatMapGroupsInPandas" not in plan
+    assert sorted((r["subject"], r["id"], round(r["rank_score"], 5), r["ord"]) for r in got.collect()) == plain_bm25(queries, docs, 5)
