@@ -267,3 +267,18 @@ def test_bm25_entities_are_not_repeated_for_parts(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Union" not in plan and "FlatMapGroupsInPandas" not in plan
     assert sorted((r["subject"], r["id"], round(r["rank_score"], 5), r["ord"]) for r in got.collect()) == plain_bm25(queries, docs, 5)
+
+
+def test_document_frequencies_need_no_rows_of_pairs(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    queries, docs, asked, index = many_names(spark, 5)
+    n, mean = retrieval.size_of(index)
+    blocks = retrieval.indexed_blocks(retrieval.documents(index).select("id", F.array().cast("array<string>").alias("names"), "tokens", "tfs"), 9)
+    got = retrieval.weighted_queries(asked, blocks, [(mean, 1.2, 0.75)], n)
+    df = {q: sum(any(t.startswith(q) for t in d) for d in docs.values()) for q in ("ali", "kha", "omar", "ze", "none")}
+    want = {s: [(q, round(math.log1p((n - df[q] + 0.5) / (df[q] + 0.5)), 9)) for q in qs if df[q]] for s, qs in queries.items()}
+    assert len(blocks) > 1 and {r["subject"]: [(q, round(x, 9)) for q, x in zip(r["qs"], r["idfs"])] for r in got.collect()} == {s: v for s, v in want.items() if v}
+    assert "count(distinct" not in got._jdf.queryExecution().optimizedPlan().toString()
