@@ -295,3 +295,10 @@ def test_bm25_rows_of_like_subjects_are_neighbours(spark):
     lists = {s: tuple((x[1], x[2]) for x in plain_bm25({s: qs}, docs, 7)) for s, qs in queries.items()}
     seen = [lists[r["subject"]] for r in got]
     assert len([x for x, _ in itertools.groupby(seen)]) == len(set(seen))
+
+
+def test_runs_of_equal_lists():
+    import pyarrow as pa
+
+    first, of = retrieval.runs_of(pa.chunked_array([[["a", "b"], ["a", "b"], ["a", "c"]], [["a", "c"], ["ac"], [], []]]))
+    assert first.tolist() == [0, 2, 4, 5] and of.tolist() == [0, 0, 1, 1, 2, 3, 3]
