@@ -121,6 +121,35 @@ def test_survivors_follow_the_order(spark):
 # --- matching ------------------------------------------------------------------------------------
 
 
+def test_best_of_a_block_without_scoring_all_pairs(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    rng, read = np.random.default_rng(4), []
+    ranges = entity_match._ranges
+    monkeypatch.setattr(entity_match, "_ranges", lambda a, b: read.append(int((b - a).sum())) or ranges(a, b))
+    for k, few, first, room in ((2, 1, 1, 40), (1, 4, 3, 1000), (3, 1000, 2, 7), (2, 2, 10**6, 10**6)):
+        rows = [sorted({int(x) for x in rng.zipf(1.3, rng.integers(0, 12)) if x < 60}) for _ in range(90)]
+        rows = [[*r, *[100 + x for x in r if x < 3]] for r in rows]  # terms that go together
+        df = np.bincount(np.concatenate(rows).astype(int), minlength=200)
+        p = pd.DataFrame({"side": [i % 2 for i in range(90)], "id": [f"e{i:02}" for i in range(90)], "source": "s", "norm": [2.2 / (1 + 1.2 * (0.6 + 0.4 * len(r) / 7)) for r in rows], "terms": [np.array(r, np.int64) for r in rows], "dfs": [df[np.array(r, int)].astype(np.int32) for r in rows]})
+        a, b = (entity_match._Side(p[p["side"] == s]) for s in (0, 1))
+        w = np.log1p((90 - df + 0.5) / (df + 0.5))
+        at = [np.where(np.isin(x.term, y.term), x.term, -1) for x, y in ((a, b), (b, a))]
+        got = sorted((a.ids[i], b.ids[j], round(s, 6)) for i, j, s in zip(*entity_match._best_of(a, b, *at, w, k, few, first, room)))
+        want = []
+        for i in range(0, 90, 2):
+            s = sorted((-round(sum(w[t] for t in set(rows[i]) & set(rows[j])) * (p["norm"][i] + p["norm"][j]) / 2, 9), j) for j in range(1, 90, 2))
+            want += [(f"e{i:02}", f"e{j:02}", round(-x, 6)) for x, j in s[:k] if x < 0]
+        assert got == sorted(want)
+    # a term that all share is not read by all
+    rows = [[i % 20, 20 + i // 40, 100] for i in range(800)]
+    df = np.bincount(np.concatenate(rows))
+    p = pd.DataFrame({"side": [i // 20 % 2 for i in range(800)], "id": [f"e{i:03}" for i in range(800)], "source": "s", "norm": 1.0, "terms": [np.array(r) for r in rows], "dfs": [df[r] for r in rows]})
+    read.clear()
+    assert len(entity_match._block_best(p, 2, 800.0)) and max(read) < 400 * 400 / 2
+
+
 def test_retrieval_is_exact(spark):
     """The two best partners in every other source equal those of a full comparison of all entries."""
     e = spark.read.parquet(DIR + "/sanctions_entities.parquet")
