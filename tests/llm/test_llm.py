@@ -343,3 +343,48 @@ def test_undated_subjects(spark):
     s = spark.createDataFrame([(f"s{i}", j) for i, j in enumerate(js)], "id string, user_input string")
     got = sorted((r["screening_id"], r["entity_id"]) for r in name_variants.link_screenings(s, e).collect())
     assert got == [("s0", "a"), ("s3", "b"), ("s3", "c")]
+
+
+def test_few_rows_of_parts_and_keys_are_shuffled(spark):
+    """Signs hold back no parts that are close, but most others; keys that aren't hot make neither side of a join be shuffled twice."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(4)
+    base = ["gomsolopak", "al gomsolopaki", "rilradazov", "ben dovar", "kimdiriruddin", "x", "дмитров", "aa bb", "zed" * 15]
+
+    def part():
+        t = list(rnd.choice(base))
+        for _ in range(rnd.randrange(3)):
+            at = rnd.randrange(len(t) + 1)
+            t[at : at + rnd.randrange(2)] = rnd.choice("aeiou ")
+        return " ".join("".join(t).split()) or "y"
+
+    one, two = ({part() for _ in range(60)} for _ in range(2))
+    a, b = (name_variants.described(spark.createDataFrame([(x,) for x in sorted(p)], "part string")) for p in (one, two))
+    side = lambda x, s: x.select(*[F.col(c).alias(c + s) for c in x.columns])
+    got = {(r["part_t"], r["part_l"]): r for r in side(a, "_t").crossJoin(side(b, "_l")).withColumn("may", name_variants._can_meet()).collect()}
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    close = 0
+    for r in got.values():
+        w, z = r["whole_t"], r["whole_l"]
+        n, m = min(len(w), 31), min(len(z), 31)
+        k, u, v = max(1, int(0.13 * max(n, m))), {ord(c) % 26 for c in w}, {ord(c) % 26 for c in z}
+        first = len(u ^ v) <= 2 * k if abs(n - m) <= k else u <= v or v <= u
+        near = any(edits(x, y) <= max(1, int(0.13 * max(len(x), len(y)))) or sorted(x) == sorted(y) for x, y in ((r[c + "_t"], r[c + "_l"]) for c in name_variants.TEXTS))
+        if first and (near or min(len(w), len(z)) >= 6 and (w in z or z in w)):
+            close += 1
+            assert r["may"], (w, z)
+    assert close > 50 and sum(r["may"] for r in got.values()) < 3 * close
+    x, y = (name_variants.materialize(spark.range(500).select((F.col("id") % 250).alias("k"), F.col("id").alias(c))) for c in "xy")
+    plan = name_variants.salted_join(x, y, ["k"], 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
