@@ -302,3 +302,21 @@ def test_runs_of_equal_lists():
 
     first, of = retrieval.runs_of(pa.chunked_array([[["a", "b"], ["a", "b"], ["a", "c"]], [["a", "c"], ["ac"], [], []]]))
     assert first.tolist() == [0, 2, 4, 5] and of.tolist() == [0, 0, 1, 1, 2, 3, 3]
+
+
+def test_lists_of_like_subjects_are_one_row(spark, tmp_path):
+    from watchloom.plans import queries as q
+
+    queries, docs, _, index = many_names(spark, 8)
+    queries = {f"{i:02}{s}": qs for i in range(5) for s, qs in queries.items()}
+    asked = spark.createDataFrame([(s, w) for s, qs in queries.items() for w in qs], "subject string, q string")
+    lists = retrieval.bm25_lists(asked, index, 7, block=11, part=25)
+    assert sorted(map(tuple, retrieval.in_rows(lists).collect())) == [(s, i, n) for s, i, _, n in plain_bm25(queries, docs, 7)]
+    got = [[tuple(w for w in queries[s] if w != "none") for s in r["subjects"]] for r in lists.collect()]
+    assert all(len(set(x)) == 1 for x in got) and len(got) < len(queries)
+    cols = "id string, phonetic_primary string, phonetic_alt string"
+    spark.createDataFrame([(f"e{i:02}", "OMR FRK", "O560 F620") for i in range(41)], cols).write.parquet(str(tmp_path / "sanctions_entities.parquet"))
+    spark.createDataFrame([(f"s{i}", '{"name": "omar farouk"}') for i in range(3)], "id string, user_input string").write.parquet(str(tmp_path / "screenings.parquet"))
+    found = q.queries()["phonetic_candidates"](spark, str(tmp_path))
+    assert sorted((r["id"], r["ord"]) for r in found.collect()) == [(f"e{i:02}", i + 1) for i in range(41)]
+    assert "posexplode" in found._jdf.queryExecution().optimizedPlan().toString()  # rows aren't made in Python

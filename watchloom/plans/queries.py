@@ -97,7 +97,8 @@ def bm25_aliases(s: SparkSession, d: str) -> DataFrame:
 
 def phonetic_candidates(s: SparkSession, d: str) -> DataFrame:
     subj = subjects_of(table(s, d, "screenings"))
-    return retrieval.bm25_topk(phonetic_rows(subj), retrieval.token_index(_entities(s, d, "phonetic_primary", "phonetic_alt"), ("phonetic_primary", "phonetic_alt"))).select("subject", "id", "ord")
+    lists = retrieval.bm25_lists(phonetic_rows(subj), retrieval.token_index(_entities(s, d, "phonetic_primary", "phonetic_alt"), ("phonetic_primary", "phonetic_alt")))
+    return retrieval.in_rows(lists)
 
 
 def soundex_names(s: SparkSession, d: str) -> DataFrame:
